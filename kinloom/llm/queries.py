@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .mixing import OP4_SQL, op4_mix_sources
+from .quality_rules import op8_quality_rules
 
 QUERIES = {
     "op4_mix_sources": op4_mix_sources,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 ORACLES = {
