@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from .bpe import op2_bpe
 from .chat_format import OP7_SQL, op7_chat_format
+from .embedding_join import op9_embedding_neardup
 from .mixing import OP4_SQL, op4_mix_sources
+from .pii import op1_pii
 from .quality_rules import op8_quality_rules
 from .url_filter import op10_url_filter
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
     "op4_mix_sources": op4_mix_sources,
     "op7_chat_format": op7_chat_format,
     "op8_quality_rules": op8_quality_rules,
+    "op9_embedding_neardup": op9_embedding_neardup,
     "op10_url_filter": op10_url_filter,
 }
 
