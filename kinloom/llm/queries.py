@@ -7,6 +7,7 @@ from .chat_format import OP7_SQL, op7_chat_format
 from .embedding_join import op9_embedding_neardup
 from .mixing import OP4_SQL, op4_mix_sources
 from .pii import op1_pii
+from .quality_model import op5_quality_model
 from .quality_rules import op8_quality_rules
 from .url_filter import op10_url_filter
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
     "op4_mix_sources": op4_mix_sources,
+    "op5_quality_model": op5_quality_model,
     "op7_chat_format": op7_chat_format,
     "op8_quality_rules": op8_quality_rules,
     "op9_embedding_neardup": op9_embedding_neardup,
@@ -22,5 +24,6 @@ QUERIES = {
 
 ORACLES = {
     "op4_mix_sources": OP4_SQL,
+    "op5_quality_model": op5_quality_model,
     "op7_chat_format": OP7_SQL,
 }
