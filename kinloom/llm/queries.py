@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op2_bpe
 from .chat_format import OP7_SQL, op7_chat_format
 from .embedding_join import op9_embedding_neardup
+from .html_extract import op3_html_extract
 from .mixing import OP4_SQL, op4_mix_sources
 from .pii import op1_pii
 from .quality_model import op5_quality_model
@@ -14,6 +15,7 @@ from .url_filter import op10_url_filter
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
+    "op3_html_extract": op3_html_extract,
     "op4_mix_sources": op4_mix_sources,
     "op5_quality_model": op5_quality_model,
     "op7_chat_format": op7_chat_format,
