@@ -71,8 +71,8 @@ def _encode_column(rows: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 64):  # ids become Python numbers: few rows at a time
+                part = batch.slice(at, 64)
                 ids = pa.array([encode_text(t, path, pattern) for t in part.column("text").to_pylist()], type=pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in head], ids], names=[*[f.name for f in head], "ids"])
 
@@ -154,8 +154,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = vocabulary(path).__getitem__
         for batch in batches:
-            decoded = pa.array([b"".join(map(get, ids)) for ids in batch.column("ids").to_pylist()], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
+            for at in range(0, batch.num_rows, 64):  # ids become Python numbers: few rows at a time
+                part = batch.slice(at, 64)
+                decoded = pa.array([b"".join(map(get, ids)) for ids in part.column("ids").to_pylist()], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded], names=[*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(work, schema)
 

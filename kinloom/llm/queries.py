@@ -10,6 +10,7 @@ from .mixing import OP4_SQL, op4_mix_sources
 from .pii import op1_pii
 from .quality_model import op5_quality_model
 from .quality_rules import op8_quality_rules
+from .shingle_join import OP6_SQL, op6_jaccard_join
 from .url_filter import op10_url_filter
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_html_extract": op3_html_extract,
     "op4_mix_sources": op4_mix_sources,
     "op5_quality_model": op5_quality_model,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_chat_format": op7_chat_format,
     "op8_quality_rules": op8_quality_rules,
     "op9_embedding_neardup": op9_embedding_neardup,
@@ -27,5 +29,6 @@ QUERIES = {
 ORACLES = {
     "op4_mix_sources": OP4_SQL,
     "op5_quality_model": op5_quality_model,
+    "op6_jaccard_join": OP6_SQL,
     "op7_chat_format": OP7_SQL,
 }
