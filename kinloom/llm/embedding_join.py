@@ -84,29 +84,29 @@ def unit_links(rows: pa.Table, threshold: float, blocks: int) -> tuple[np.ndarra
     block, dims = int(rows.column("block")[0].as_py()), int(rows.column("dims")[0].as_py())
     unit = _unit(rows.column("embedding").to_pylist())
     parts, turned = block_slices(dims, blocks), unit @ rotation(dims)
-    limit = [radius(dims, s, threshold) ** 2 for s in parts]
     left, right = first, first if own else second
-    square = [(turned[:, s] ** 2).sum(axis=1) for s in parts]
+    limit = [radius(dims, s, threshold) ** 2 for s in parts]
+    # One product gives all squared distances of the block, in single precision and with room for its rounding.
+    own_block = turned[:, parts[block]]
+    square = (own_block**2).sum(axis=1, keepdims=True)
+    one = np.ones_like(square)
+    rows_side = np.hstack([-2 * own_block, square, one]).astype(np.float32)
+    cols_side = np.hstack([own_block, one, square]).astype(np.float32)[right].T.copy()
     counts, label = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
     start, end = [], []
-    for at in range(0, len(left), 512):
-        a = left[at : at + 512]
-        s = parts[block]
-        near = square[block][a][:, None] + square[block][right][None, :] - 2 * turned[a][:, s] @ turned[right][:, s].T <= limit[block]
-        if own:
-            near &= right[None, :] > a[:, None]
-        i, j = np.nonzero(near)
+    for at in range(0, len(left), 256):
+        a = left[at : at + 256]
+        i, j = np.divmod(np.flatnonzero(rows_side[a] @ cols_side <= np.float32(limit[block] + 1e-5)), len(right))
         i, j = a[i], right[j]
+        if own:
+            i, j = i[i < j], j[i < j]
         if not len(i):
             continue
         keep = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
         i, j = i[keep], j[keep]
-        for earlier in range(block):  # an earlier block that admits the pair has counted it
-            p = parts[earlier]
-            other = ((turned[i][:, p] - turned[j][:, p]) ** 2).sum(axis=1) > limit[earlier]
-            meets = np.abs(np.floor(turned[i, p.start] / np.sqrt(limit[earlier])) - np.floor(turned[j, p.start] / np.sqrt(limit[earlier]))) > 1
-            keep = other | meets
-            i, j = i[keep], j[keep]
+        inside = [((turned[i][:, p] - turned[j][:, p]) ** 2).sum(axis=1) <= limit[k] for k, p in enumerate(parts[: block + 1])]
+        keep = inside[block] & ~np.logical_or.reduce(inside[:block] or [np.zeros(len(i), dtype=bool)])  # an earlier block counts its pairs
+        i, j = i[keep], j[keep]
         np.add.at(counts, i, weight[j])
         np.add.at(counts, j, weight[i])
         for k in np.unique(i):  # a row joins the trees of all its partners
