@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .bpe import op2_bpe
 from .chat_format import OP7_SQL, op7_chat_format
 from .embedding_join import op9_embedding_neardup
@@ -24,6 +26,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_embedding_neardup": op9_embedding_neardup,
     "op10_url_filter": op10_url_filter,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
@@ -32,3 +35,6 @@ ORACLES = {
     "op6_jaccard_join": OP6_SQL,
     "op7_chat_format": OP7_SQL,
 }
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
