@@ -44,8 +44,8 @@ def block_slices(dims: int, blocks: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
 
 
-def _unit(rows: list) -> np.ndarray:
-    x = np.array(rows, dtype=np.float64)
+def _unit(column: pa.Array, dims: int) -> np.ndarray:
+    x = np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dims)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -56,11 +56,10 @@ def _strips(classes: DataFrame, threshold: float, blocks: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("dims").to_numpy()
-            vectors = batch.column("embedding").to_pylist()
             strips: list = [None] * len(vectors)
             for d in np.unique(sizes):
                 at = np.flatnonzero(sizes == d)
-                turned = _unit([vectors[i] for i in at]) @ rotation(int(d))
+                turned = _unit(batch.column("embedding").take(pa.array(at)), int(d)) @ rotation(int(d))
                 parts = block_slices(int(d), blocks)
                 found = np.stack([np.floor(turned[:, s.start] / radius(d, s, threshold)) for s in parts], axis=1).astype(np.int32)
                 for i, f in zip(at, found.tolist()):
@@ -82,7 +81,7 @@ def unit_links(rows: pa.Table, threshold: float, blocks: int) -> tuple[np.ndarra
     own = bool(rows.column("own")[0].as_py())
     ids, weight = rows.column("cls").to_numpy(), rows.column("weight").to_numpy()
     block, dims = int(rows.column("block")[0].as_py()), int(rows.column("dims")[0].as_py())
-    unit = _unit(rows.column("embedding").to_pylist())
+    unit = _unit(rows.column("embedding").combine_chunks(), dims)
     parts, turned = block_slices(dims, blocks), unit @ rotation(dims)
     left, right = first, first if own else second
     limit = [radius(dims, s, threshold) ** 2 for s in parts]
@@ -94,9 +93,14 @@ def unit_links(rows: pa.Table, threshold: float, blocks: int) -> tuple[np.ndarra
     cols_side = np.hstack([own_block, one, square]).astype(np.float32)[right].T.copy()
     counts, label = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
     start, end = [], []
+    width = -(-len(right) // 8) * 8
     for at in range(0, len(left), 256):
         a = left[at : at + 256]
-        i, j = np.divmod(np.flatnonzero(rows_side[a] @ cols_side <= np.float32(limit[block] + 1e-5)), len(right))
+        near = np.zeros((len(a), width), dtype=bool)
+        np.less_equal(rows_side[a] @ cols_side, np.float32(limit[block] + 1e-5), out=near[:, : len(right)])
+        eights = np.flatnonzero(near.view(np.uint64))  # hits are rare: look at eight pairs at once
+        at_pair = (eights[:, None] * 8 + np.arange(8)).ravel()
+        i, j = np.divmod(at_pair[near.ravel()[at_pair]], width)
         i, j = a[i], right[j]
         if own:
             i, j = i[i < j], j[i < j]
@@ -109,10 +113,12 @@ def unit_links(rows: pa.Table, threshold: float, blocks: int) -> tuple[np.ndarra
         i, j = i[keep], j[keep]
         np.add.at(counts, i, weight[j])
         np.add.at(counts, j, weight[i])
-        for k in np.unique(i):  # a row joins the trees of all its partners
-            trees = np.unique(label[np.append(j[i == k], k)])
+        order = np.argsort(i, kind="stable")
+        rows_of, begin = np.unique(i[order], return_index=True)
+        for k, partners in zip(rows_of, np.split(j[order], begin[1:])):  # a row joins the trees of all its partners
+            trees = np.unique(label[np.append(partners, k)])
             if len(trees) > 1:
-                start += [ids[t] for t in trees[1:]]
+                start += ids[trees[1:]].tolist()
                 end += [ids[trees[0]]] * (len(trees) - 1)
                 label[np.isin(label, trees)] = trees[0]
     return ids, counts, np.array(start, dtype=np.int64), np.array(end, dtype=np.int64)
