@@ -56,7 +56,7 @@ def _strips(classes: DataFrame, threshold: float, blocks: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("dims").to_numpy()
-            strips: list = [None] * len(vectors)
+            strips: list = [None] * batch.num_rows
             for d in np.unique(sizes):
                 at = np.flatnonzero(sizes == d)
                 turned = _unit(batch.column("embedding").take(pa.array(at)), int(d)) @ rotation(int(d))
