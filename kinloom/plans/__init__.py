@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("registers",)
+MODULES = ("registers", "names", "linkage")
 
 
 def load() -> None:
