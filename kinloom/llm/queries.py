@@ -31,7 +31,6 @@ QUERIES = {
 
 ORACLES = {
     "op4_mix_sources": OP4_SQL,
-    "op5_quality_model": op5_quality_model,
     "op6_jaccard_join": OP6_SQL,
     "op7_chat_format": OP7_SQL,
 }
