@@ -22,8 +22,9 @@ Documents are sets of hashed word shingles; two documents link when
 Every step writes spanning edges, so no group is ever expanded into its pairs.
 
 Defined results: null or empty text has an empty set and links with nothing; a document with fewer words
-than a shingle has one shingle, its whole sequence; repeated rows each get a result; rows with one id
-count as one document; a null id links with nothing; an empty table gives no rows.
+than a shingle has one shingle, its whole sequence; repeated rows each get a result; rows of one id with
+different texts are each linked by their own text, and texts with the same smallest id share a component; a
+null id links with nothing; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -114,13 +115,20 @@ def signatures(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
 
     both = cut(docs.select("doc_id", text_of("text").cast("binary").alias("text")).mapInArrow(work, "doc_id bigint, n bigint, h binary, part int, counts binary"))
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(SKETCH // SKETCH_PARTS, dtype=np.uint64)
-        for x in table.column("counts"):
-            total += np.frombuffer(x.as_buffer(), dtype=np.uint32)
-        return pa.table({"part": table.column("part").slice(0, 1).combine_chunks(), "counts": pa.array([np.minimum(total, 2**31).astype(np.uint32).tobytes()], pa.binary())})
-
-    summed = both.where(F.col("part").isNotNull()).select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}  # SKETCH counters at most, however many rows come
+        for batch in batches:
+            for part, x in zip(batch.column("part").to_pylist(), batch.column("counts")):
+                total = totals.setdefault(part, np.zeros(SKETCH // SKETCH_PARTS, dtype=np.uint64))
+                total += np.frombuffer(x.as_buffer(), dtype=np.uint32)
+        rows = [{"part": k, "counts": np.minimum(v, 2**31).astype(np.uint32).tobytes()} for k, v in totals.items()]
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("counts", pa.binary())]))
+
+    # Two rounds: the rows of a part, one from each task, are first added up in many places.
+    counts = both.where(F.col("part").isNotNull()).select("part", "counts")
+    salt = F.pmod(F.spark_partition_id(), F.lit(64))
+    partly = counts.repartition("part", salt).mapInArrow(add, "part int, counts binary")
+    summed = partly.repartition("part").mapInArrow(add, "part int, counts binary")
     counters = np.zeros(SKETCH, dtype=np.uint32)
     step = SKETCH // SKETCH_PARTS
     for r in summed.collect():  # SKETCH counters, a fixed number
@@ -388,11 +396,12 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int
                     keep.append(k)
                     sets.append(own.tobytes())
             rest = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*[rest.column(c) for c in ("rep", "component", "band", "large", "block")], pa.array(sets, pa.binary())], names=["rep", "component", "band", "large", "block", "own"])
+            names = ["rep", "component", "band", "large", "block", "want"]
+            yield pa.RecordBatch.from_arrays([*[rest.column(c) for c in names], pa.array(sets, pa.binary())], names=[*names, "own"])
 
     texts = docs.select("doc_id", text_of("text").cast("binary").alias("text"))
-    sets = texts.join(want, texts["doc_id"] == want["rep"]).select("rep", "component", "band", "large", "block", "want", "text").mapInArrow(as_sets, "rep bigint, component bigint, band int, large boolean, block int, own binary")
-    sets = cut(sets.dropDuplicates(["rep", "component", "band", "block"]))
+    sets = texts.join(want, texts["doc_id"] == want["rep"]).select("rep", "component", "band", "large", "block", "want", "text").mapInArrow(as_sets, "rep bigint, component bigint, band int, large boolean, block int, want binary, own binary")
+    sets = cut(sets.dropDuplicates(["rep", "want", "component", "band", "block"]).drop("want"))
 
     # Within components, or blocks of large ones with the pivots of the component.
     pivot = placed.where("large").groupBy("component").agg(F.slice(F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64("h"), F.lit(64)) == 0, F.col("rep")))), 1, PIVOTS).alias("p"), F.min("rep").alias("first"))
@@ -478,7 +487,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = cut(
         classes.join(links, F.col("rep") == F.col("l_node"), "left").select(F.col("h").alias("c_h"), F.coalesce("component", "rep").alias("component_id"))
     )
-    # A document id with several texts is one document: its classes share a component.
     return own.join(found, F.col("h") == F.col("c_h"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
