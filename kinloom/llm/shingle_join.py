@@ -29,6 +29,7 @@ null id links with nothing; an empty table gives no rows; further columns are ig
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,6 +86,15 @@ def _digest(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
 
+def _packed(counters: np.ndarray) -> bytes:
+    """Counters as compressed bytes: a task with few texts leaves most of them 0."""
+    return zlib.compress(np.minimum(counters, 2**31).astype(np.uint32).tobytes(), 1)
+
+
+def _unpacked(counters: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(counters), dtype=np.uint32)
+
+
 def _bytes(column: pa.Array) -> Iterator[bytes]:
     return (x.as_py() or b"" for x in column.cast(pa.binary()))
 
@@ -110,7 +120,7 @@ def signatures(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
             n = len(sizes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         for part, counts in enumerate(np.split(counters, SKETCH_PARTS)):
-            row = {"doc_id": None, "n": None, "h": None, "part": part, "counts": counts.astype(np.uint32).tobytes()}
+            row = {"doc_id": None, "n": None, "h": None, "part": part, "counts": _packed(counts)}
             yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     both = cut(docs.select("doc_id", text_of("text").cast("binary").alias("text")).mapInArrow(work, "doc_id bigint, n bigint, h binary, part int, counts binary"))
@@ -118,29 +128,29 @@ def signatures(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}  # SKETCH counters at most, however many rows come
         for batch in batches:
-            for part, x in zip(batch.column("part").to_pylist(), batch.column("counts")):
+            for part, x in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
                 total = totals.setdefault(part, np.zeros(SKETCH // SKETCH_PARTS, dtype=np.uint64))
-                total += np.frombuffer(x.as_buffer(), dtype=np.uint32)
-        rows = [{"part": k, "counts": np.minimum(v, 2**31).astype(np.uint32).tobytes()} for k, v in totals.items()]
+                total += _unpacked(x)
+        rows = [{"part": k, "counts": _packed(v)} for k, v in totals.items()]
         yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("counts", pa.binary())]))
 
     # Two rounds: the rows of a part, one from each task, are first added up in many places.
     counts = both.where(F.col("part").isNotNull()).select("part", "counts")
-    salt = F.pmod(F.spark_partition_id(), F.lit(64))
+    salt = F.pmod(F.spark_partition_id(), F.lit(8))
     partly = counts.repartition("part", salt).mapInArrow(add, "part int, counts binary")
     summed = partly.repartition("part").mapInArrow(add, "part int, counts binary")
     counters = np.zeros(SKETCH, dtype=np.uint32)
     step = SKETCH // SKETCH_PARTS
     for r in summed.collect():  # SKETCH counters, a fixed number
-        counters[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["counts"], dtype=np.uint32)
+        counters[r["part"] * step : (r["part"] + 1) * step] = _unpacked(r["counts"])
     return both.where(F.col("part").isNull()).select("doc_id", "n", "h"), counters
 
 
 # Steps 2 and 3 -----------------------------------------------------------------------------------
 
-#: Columns of tree nodes: tree, head, bitmap, slack, least and largest part size, allowed difference.
-NODE = "key bigint, node bigint, b0 bigint, b1 bigint, slack int, least int, most int, allowed int"
-_NAMES = tuple(x.split()[0] for x in NODE.split(", "))
+#: Columns of tree nodes: tree, head, bitmap and, packed into one number to keep the shuffle small, slack, least and
+#: largest part size and allowed difference. In memory these are eight rows of an array.
+NODE = "key bigint, node bigint, b0 bigint, b1 bigint, sizes bigint"
 
 
 def part_count(n: int) -> int:
@@ -235,11 +245,18 @@ def build_nodes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return up, found
 
 
-_TREE_SCHEMA = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("b0", pa.int64()), ("b1", pa.int64()), ("slack", pa.int32()), ("least", pa.int32()), ("most", pa.int32()), ("allowed", pa.int32())])
+_TREE_SCHEMA = pa.schema([(x.split()[0], pa.int64()) for x in NODE.split(", ")])
 
 
 def _node_batch(rows: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows[k]).cast(f.type) for k, f in enumerate(_TREE_SCHEMA)], schema=_TREE_SCHEMA)
+    """Node rows as a batch; the sizes of a part stay far below 2**15."""
+    sizes = (rows[4] << 48) | (rows[5] << 32) | (rows[6] << 16) | (rows[7] + 1)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (*rows[:4], sizes)], schema=_TREE_SCHEMA)
+
+
+def _node_rows(batch: pa.RecordBatch) -> np.ndarray:
+    *head, sizes = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+    return np.stack([*head, sizes >> 48, (sizes >> 32) & 0xFFFF, (sizes >> 16) & 0xFFFF, (sizes & 0xFFFF) - 1])
 
 
 def _edge_rows(edges: np.ndarray) -> np.ndarray:
@@ -292,7 +309,7 @@ def candidate_edges(docs: DataFrame, counters: np.ndarray, words: int, percent:
             yield pa.RecordBatch.from_arrays([pa.array(every[0]), pa.array(every[1])], schema=schema)
 
         for batch in batches:
-            held.append(np.stack([c.cast(pa.int64()).to_numpy(zero_copy_only=False) for c in batch.columns]) if batch.num_rows else np.zeros((8, 0), dtype=np.int64))
+            held.append(_node_rows(batch))
             size += batch.num_rows
             if size > HELD:
                 rows = np.concatenate(held, axis=1)
