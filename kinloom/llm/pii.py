@@ -1,12 +1,15 @@
 """Sanitising personal data by information content (operator 1).
 
 Patterns find the protected entities (e-mail, IP, card and phone numbers). The corpus then says which
-other terms reveal them. Texts are cut into contexts of ``CONTEXT`` terms; p(c) and p(t) are the shares of
-contexts with entity c and term t, p(c, t) of those with both. A term discloses c if its pointwise
+other terms reveal them. Protected are the exact values and the classes that recur where values do not (``_protected``:
+kind, e-mail domain, IP network, card issuer, phone area). Each occurrence of c has a window of ``CONTEXT`` terms
+centred on it; over the occurrences of all terms, p(t) is the share of term t, p(c) the share that lies in a window of c (in
+overlapping windows once), p(c, t) the share of both. A term discloses c if its pointwise
 mutual information log(p(c,t) / p(c)p(t)) reaches ``DISCLOSURE`` times the information -log p(c) of
-the entity itself, with at least ``SUPPORT`` common contexts that do not all lie in copies of one text. A disclosing term is
+c itself. Statistical floor: at least ``SUPPORT`` windows that do not all lie in copies of one text, and more than
+chance gives, p(c)^windows <= ``CHANCE`` / occurrences of all terms. A disclosing term is
 generalised to its ``GENERAL``-letter prefix where that prefix, counted over all its terms, no longer discloses; otherwise it is
-removed. Contexts bound the work: a text of n terms gives at most n pairs for each entity of a context.
+removed. Windows bound the work: an entity gives at most ``CONTEXT`` pairs for its value and each of its classes.
 
 All counts cover all documents: one pass emits partial counts per task, Spark sums them. The set of
 disclosing terms is sent to the tasks if it has at most ``BROADCAST_TERMS`` rows; beyond that the
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import cut, read, text_of
 
 CONTEXT, SUPPORT, DISCLOSURE, GENERAL = 50, 3, 0.98, 3
+CHANCE = 0.05
 BROADCAST_TERMS = 100_000
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Partial counts that a task holds before it emits them.
@@ -100,14 +105,33 @@ def _terms(text: str, spans: list[Span]) -> list[tuple[int, int, str]]:
     return out
 
 
+def _protected(kind: int, value: str) -> Iterator[str]:
+    """The exact value and the classes it belongs to."""
+    yield value
+    yield f"kind:{KINDS[kind]}"
+    digits = "".join(_DIGIT.findall(value))
+    yield ("domain:" + value.rpartition("@")[2], "net:" + ".".join(value.split(".")[:2]), "issuer:" + digits[:6], "area:" + digits[:4])[kind]
+
+
+def _near(terms: list[tuple[int, int, str]], spans: list[Span], text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Every protected value or class of a text with the windows (ranges of ``terms``) centred on its occurrences, in order."""
+    starts = [a for a, _, _ in terms]
+    windows: dict[str, list[tuple[int, int]]] = {}
+    for a, kind, b in spans:
+        at = bisect_left(starts, a)
+        for c in _protected(kind, text[a:b].lower()):
+            windows.setdefault(c, []).append((max(at - CONTEXT // 2, 0), min(at + CONTEXT // 2, len(terms))))
+    yield from windows.items()
+
+
 def _counts(texts: Iterator[str], held: int = _HELD) -> Iterator[dict]:
-    """Partial counts: ('', '') contexts, ('', t) contexts with t, (c, '') contexts with c, (c, t) both, with the range of the hashes of their texts."""
+    """Partial counts: ('', '') occurrences of all terms, ('', t) of t, (c, '') of all in windows of c, (c, t) of t in windows of c; ``s`` counts the windows, lo and hi are the range of the hashes of their texts."""
     plain: Counter = Counter()
     pairs: dict[tuple[str, str], list[int]] = {}
 
     def flush() -> Iterator[dict]:
-        yield from ({"entity": "", "term": t, "n": n, "lo": 0, "hi": 0} for t, n in plain.items())
-        yield from ({"entity": c, "term": t, "n": v[0], "lo": v[1], "hi": v[2]} for (c, t), v in pairs.items())
+        yield from ({"entity": "", "term": t, "n": n, "s": 0, "lo": 0, "hi": 0} for t, n in plain.items())
+        yield from ({"entity": c, "term": t, "n": v[0], "s": v[1], "lo": v[2], "hi": v[3]} for (c, t), v in pairs.items())
         plain.clear()
         pairs.clear()
 
@@ -115,40 +139,33 @@ def _counts(texts: Iterator[str], held: int = _HELD) -> Iterator[dict]:
         spans = base_spans(text)
         if not spans:
             words = _TERM.findall(text.lower())
-            for i in range(0, len(words), CONTEXT):
-                plain.update(set(words[i : i + CONTEXT]))
-            plain[""] += -(-len(words) // CONTEXT)
         else:
             terms = _terms(text, spans)
+            words = [t for _, _, t in terms]
             mark = xxhash.xxh64_intdigest(text) >> 1
-            k = 0
-            for i in range(0, max(len(terms), 1), CONTEXT):
-                part = terms[i : i + CONTEXT]
-                here = {t for _, _, t in part}
-                last = i + CONTEXT >= len(terms)
-                entities = set()
-                while k < len(spans) and (last or spans[k][0] < part[-1][1]):
-                    entities.add(text[spans[k][0] : spans[k][2]].lower())
-                    k += 1
-                plain.update(here)
-                plain[""] += 1
-                if entities:
-                    for c in entities:
-                        for t in here | {""}:
-                            v = pairs.setdefault((c, t), [0, mark, mark])
-                            v[0], v[1], v[2] = v[0] + 1, min(v[1], mark), max(v[2], mark)
-                        if len(pairs) > held:
-                            yield from flush()
+            for c, windows in _near(terms, spans, text):
+                reach = 0
+                for lo, hi in windows:
+                    once = Counter(words[max(lo, reach) : hi])
+                    once[""] = sum(once.values())
+                    for t in {*words[lo:hi], ""}:
+                        v = pairs.setdefault((c, t), [0, 0, mark, mark])
+                        v[0], v[1], v[2], v[3] = v[0] + once[t], v[1] + 1, min(v[2], mark), max(v[3], mark)
+                    reach = hi
+                    if len(pairs) > held:
+                        yield from flush()
+        plain.update(words)
+        plain[""] += len(words)
         if len(plain) > held:
             yield from flush()
     yield from flush()
 
 
 def corpus_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``entity, term, n, lo, hi`` over all documents; rows that cannot reach ``SUPPORT`` are left out."""
+    """``entity, term, n, s, lo, hi`` over all documents; rows that cannot reach ``SUPPORT`` are left out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("entity", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+        schema = pa.schema([("entity", pa.string()), ("term", pa.string()), *[(x, pa.int64()) for x in ("n", "s", "lo", "hi")]])
         rows: list[dict] = []
         for row in _counts(t.as_py() for b in batches for t in b.column(0)):
             rows.append(row)
@@ -157,24 +174,26 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 rows = []
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    partial = docs.select(text_of(text_col).alias("text")).mapInArrow(work, "entity string, term string, n bigint, lo bigint, hi bigint")
-    summed = partial.groupBy("entity", "term").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return summed.where((F.col("n") >= SUPPORT) & ((F.col("entity") == "") | (F.col("term") == "") | (F.col("lo") < F.col("hi"))))
+    partial = docs.select(text_of(text_col).alias("text")).mapInArrow(work, "entity string, term string, n bigint, s bigint, lo bigint, hi bigint")
+    summed = partial.groupBy("entity", "term").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return summed.where(F.when(F.col("entity") == "", F.col("n") >= SUPPORT).otherwise((F.col("n") > 0) & (F.col("s") >= SUPPORT) & (F.col("lo") < F.col("hi"))))
 
 
 def disclosing_terms(docs: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
     """``term, general``: the terms that reveal an entity and what replaces them (null: removed)."""
     counts = cut(corpus_counts(docs, text_col))
-    all_contexts = counts.where((F.col("entity") == "") & (F.col("term") == "")).agg(F.max("n")).first()[0] or 0
+    all_terms = counts.where((F.col("entity") == "") & (F.col("term") == "")).agg(F.max("n")).first()[0] or 0
     vocabulary = counts.where((F.col("entity") == "") & (F.col("term") != "")).select("term", F.col("n").alias("n_t"))
     entities = counts.where((F.col("entity") != "") & (F.col("term") == "")).select("entity", F.col("n").alias("n_c"))
-    pairs = counts.where((F.col("entity") != "") & (F.col("term") != "")).select("entity", "term", F.col("n").alias("n_ct"))
+    pairs = counts.where((F.col("entity") != "") & (F.col("term") != "")).select("entity", "term", F.col("n").alias("n_ct"), "s")
     general = F.concat(F.substring("term", 1, GENERAL), F.lit("*"))
-    n = F.lit(float(max(all_contexts, 1)))
+    n = F.lit(float(max(all_terms, 1)))
     information = F.log(n / F.col("n_c"))
     reveals = lambda both, alone: (information > 0) & (F.log(n * both / (F.col("n_c") * alone)) >= disclosure * information)
-    joined = pairs.join(vocabulary, "term").join(entities, "entity")
-    flagged = joined.where(reveals(F.col("n_ct"), F.col("n_t"))).select("entity", "term", "n_c", general.alias("general"))
+    # No entity is rarer than one occurrence: what fails here reveals none, so the frequent classes do not fill one task of the join.
+    likely = pairs.join(vocabulary, "term").where(F.col("n_ct") >= 0.999 * F.col("n_t") * F.pow(n, F.lit(disclosure - 1)))
+    by_chance = F.col("s") * information < F.log(n / CHANCE)
+    flagged = likely.join(entities, "entity").where(reveals(F.col("n_ct"), F.col("n_t")) & ~by_chance).select("entity", "term", "n_c", general.alias("general"))
     by_prefix = vocabulary.groupBy(general.alias("general")).agg(F.sum("n_t").alias("g_t"))
     both_prefix = pairs.groupBy("entity", general.alias("general")).agg(F.sum("n_ct").alias("g_ct"))
     judged = flagged.join(both_prefix, ["entity", "general"]).join(by_prefix, "general").withColumn("hidden", ~reveals(F.col("g_ct"), F.col("g_t")))

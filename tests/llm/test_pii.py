@@ -68,3 +68,42 @@ def test_terms_in_a_join_equal_terms_in_a_dictionary(spark):
     docs = spark.createDataFrame([(i, f"Zanzibari wrote to zed@example.net number {i}" if i < 6 else f"plain text {i}") for i in range(40)], "doc_id long, text string")
     by = lambda bound: sorted(tuple(r) for r in pii.report(docs, bound=bound).collect())
     assert by(100) == by(0)
+
+
+def test_terms_beside_a_class_of_values_that_never_recur(spark):
+    filler = lambda i: " ".join(f"w{(i * 7 + k) % 60}" for k in range(49))
+    told = [(i, f"{filler(i)} Quellenhof user{i}@desk.example.net {filler(i + 1)}") for i in range(12)]
+    plain = [(100 + i, f"{filler(i)} {filler(i + 3)} {filler(i + 5)}") for i in range(200)]
+    docs = spark.createDataFrame(told + plain, "doc_id long, text string")
+    terms = {r["term"] for r in pii.disclosing_terms(docs).collect()}
+    assert terms == {"quellenhof"}, "every address is new, its domain and kind are not; the term lies before a border of 50 terms"
+    assert pii.sanitise(docs).where(F.col("text").rlike("(?i)quellenhof")).count() == 0
+
+
+def test_counts_of_windows_follow_a_loop():
+    texts = ["a b a x@y.zz a c " + "d " * 30 + "e x@y.zz q@y.zz f", "no entity a b", "a q@y.zz", ""]
+    want: dict = {}
+    for text in texts:
+        words = [w for w in text.split() if "@" not in w]
+        places, k = [], 0
+        for w in text.split():
+            if "@" in w:
+                places += [(c, k) for c in (w, "kind:email", "domain:y.zz")]
+            else:
+                k += 1
+        for c in {c for c, _ in places}:
+            windows = [range(max(k - 25, 0), min(k + 25, len(words))) for own, k in places if own == c]
+            for t in {*words, ""}:
+                n = sum(any(i in w for w in windows) for i, x in enumerate(words) if t in ("", x))
+                s = sum(t == "" or any(words[i] == t for i in w) for w in windows)
+                if s:
+                    a, b = want.get((c, t), (0, 0))
+                    want[c, t] = a + n, b + s
+        for t in [*words, *[""] * len(words)]:
+            want["", t] = want.get(("", t), (0, 0))[0] + 1, 0
+    for held in (1, 10_000):
+        got: dict = {}
+        for r in pii._counts(iter(texts), held):
+            a, b = got.get((r["entity"], r["term"]), (0, 0))
+            got[r["entity"], r["term"]] = a + r["n"], b + r["s"]
+        assert got == want
