@@ -2,12 +2,13 @@
 
 Base rules count words, characters, symbols, repeated lines and repeated three-word windows of the
 whole text. The method hashes the words and word pairs of a text into ``BUCKETS`` buckets and
-compares two multinomials over the buckets: a trusted target (a bounded sample of documents labelled
+compares two multinomials over the buckets: a trusted target (all documents labelled
 as good) and the raw corpus (all documents). A document's score is the sum of
 log(p_target / p_raw) over its n-grams divided by their number; it is kept if the score is at least
 ``THRESHOLD``, every document by the same fixed rule.
 
-The bucket counts come from one pass with map-side combining (at most ``BUCKETS`` rows per task are
+Documents meet the good ids in a shuffled join; the ids are repeated ``SALTS`` times, so rows that share an id
+(or have none) are dealt over several tasks. The bucket counts come from one pass with map-side combining (at most ``BUCKETS`` rows per task are
 shuffled). The bucket weights, a fixed number of them, then become one literal array, so scoring is
 a narrow projection without any shuffle.
 
@@ -27,8 +28,8 @@ from .common import BLANK, WORD, read, text_of
 
 #: Hash buckets of the multinomials; the scoring literal has this many numbers.
 BUCKETS = 1 << 14
-#: Bound on the labelled documents that make up the trusted target (lowest hash of the id first).
-TRUSTED_ROWS = 20000
+#: Parts into which the rows of one id are dealt where documents meet their labels.
+SALTS = 8
 #: Least length-normalised log-likelihood ratio of a kept document.
 THRESHOLD = -0.05
 #: Additive smoothing of the bucket counts.
@@ -99,16 +100,16 @@ def ngram_buckets() -> Column:
     return F.concat(single, F.when(F.size("_h") >= 2, pair).otherwise(F.array().cast("array<int>")))
 
 
-def trusted_ids(labels: DataFrame, bound: int = TRUSTED_ROWS) -> DataFrame:
-    """At most ``bound`` ids of documents labelled as good, the same ones in every run."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The ids of all documents labelled as good."""
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
 def bucket_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
     """log(p_target / p_raw) of every bucket, rounded to four decimals; all 0 without trusted documents."""
-    trusted = trusted_ids(labels).select(F.col("doc_id").alias("_trusted"))
-    flagged = docs.select(F.col(id_col).alias("_id"), F.col(text_col)).join(F.broadcast(trusted), F.col("_id") == F.col("_trusted"), "left")
+    trusted = trusted_ids(labels).select(F.col("doc_id").alias("_trusted"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part"))
+    dealt = docs.select(F.col(id_col).alias("_id"), F.col(text_col)).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    flagged = dealt.join(trusted.hint("shuffle_hash"), (F.col("_id") == F.col("_trusted")) & (F.col("_salt") == F.col("_part")), "left")
     grams = with_hashes(flagged, text_col).select(F.col("_trusted").isNotNull().alias("good"), F.explode(ngram_buckets()).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("good").alias("good"))
     full = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)

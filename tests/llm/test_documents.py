@@ -1,5 +1,6 @@
 """Mixing, quality rules, quality scores, chat, pages, URLs and the pipeline on small tables."""
 
+import math
 import re
 from collections import Counter
 
@@ -47,6 +48,19 @@ def test_quality_rules_count_like_a_loop(spark):
     assert quality_rules.apply_rules(docs.where(F.lit(False)).drop("score"), labels).count() == 0
 
 
+def test_all_good_labels_make_the_trusted_target(spark):
+    # More good documents than the former bound of 20,000; ids repeat and some are missing.
+    n = 20_500
+    docs = spark.range(n).select(F.when(F.col("id") % 1000 != 7, F.col("id")).alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(3, "again"), (3, "again"), (n + 1, "bad")], "doc_id long, text string"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")).unionByName(spark.createDataFrame([(3, 1), (n + 1, 0)], "doc_id long, quality int"))
+    rows = docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(quality_rules.BUCKETS)).alias("b")).collect()
+    raw, good = Counter(r["b"] for r in rows), Counter(r["b"] for r in rows if r["doc_id"] is not None and r["doc_id"] < n)
+    total = lambda c: sum(c.values()) + quality_rules.BUCKETS
+    want = [round(math.log((good[b] + 1) / total(good)) - math.log((raw[b] + 1) / total(raw)), 4) for b in range(quality_rules.BUCKETS)]
+    assert quality_rules.bucket_weights(docs, labels) == pytest.approx(want, abs=1.1e-4)
+
+
 def test_quality_scores_learn(spark):
     good = [(i, f"A calm sentence number {i} about rivers, hills and towns. " * (3 + i % 5)) for i in range(200)]
     bad = [(1000 + i, f"BUY!!! $$$ {i} *** click ### " * (4 + i % 3)) for i in range(200)]
