@@ -2,12 +2,15 @@
 
 A list of host and path rules decides first: a rule fits its host and all subdomains where the
 path starts with the rule's path, and the longest rule wins. URLs that no rule fits are judged by
-association rules: FP-growth mines token combinations from labelled URLs, combinations that imply
-"block" with enough confidence and support are kept (the shortest ones: a rule is dropped if a
+association rules: FP-growth mines token combinations of any length from the listed URLs. The only labels are the
+verdicts of the list, so a combination must hold beyond one corner of it: it is kept if the Wilson lower bound of
+its confidence for "block" reaches ``MIN_CONFIDENCE`` and its blocked URLs lie on ``MIN_HOSTS`` hosts of ``MIN_SITES`` sites (last two
+labels) at least. Of these the shortest stay (a rule is dropped if a
 part of it already implies the same), and an inverted index from token to rule finds the rules of which a URL has
 all tokens. Matching works on distinct URLs, so a URL that fills a third of the table is matched once.
 
-Tokens that the rule list itself is written with are no evidence, since the labels follow from them.
+Tokens that the rule list itself is written with are no evidence, since the labels follow from them, nor are
+languages at the root of a path, which the list is divided by.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and is
 allowed; repeated rows give repeated results; an empty table, or labels without a frequent
@@ -29,7 +32,10 @@ RULES = (
     ("example.com", "/de/", "block"),
     ("org", "/fr/", "allow"),
 )
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.002, 0.9, 3
+MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.9
+MIN_HOSTS, MIN_SITES = 3, 2
+#: Normal quantile of the Wilson bound (95 % on two sides).
+_Z = 1.96
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -55,24 +61,42 @@ def url_tokens(url: Column, host: Column, path: Column, rules=RULES) -> Column:
     listed = sorted({t for h, p, _ in rules for t in [f"h:{x}" for x in h.split(".")] + [f"p:{x}" for x in p.split("/") if x]})
     hosts = F.transform(F.split(host, r"\."), lambda x: F.concat(F.lit("h:"), x))
     step = lambda x: F.regexp_replace(F.regexp_replace(x, r"\.[a-z]+$", ""), r"[0-9]+", "#")
-    paths = F.transform(F.split(path, "/"), lambda x: F.concat(F.lit("p:"), step(x)))
+    spoken = lambda x, i: (i == 1) & x.rlike("^[A-Za-z]{2}([-_][A-Za-z]{2})?$")
+    paths = F.transform(F.filter(F.split(path, "/"), lambda x, i: ~spoken(x, i)), lambda x: F.concat(F.lit("p:"), step(x)))
     names = F.transform(F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit(r"[?&]([^=&#]+)"), F.lit(1)), lambda x: F.concat(F.lit("q:"), x))
     every = F.array_distinct(F.concat(hosts, paths, names))
     return F.array_except(F.filter(every, lambda x: F.length(x) > 2), F.array(*[F.lit(t) for t in listed]))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def wilson(hits: Column, n: Column) -> Column:
+    """Lower Wilson bound of the share ``hits / n``."""
+    p = hits / n
+    return (p + _Z**2 / (2 * n) - _Z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / n + _Z**2 / (4 * n * n))) / (1 + _Z**2 / n)
+
+
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Inverted index ``(token, rule_id, n_tokens, confidence)`` of rules that imply "block".
 
-    ``labelled`` has ``tokens array<string>`` and ``verdict``.
+    ``labelled`` has ``url``, ``host``, ``tokens array<string>`` and ``verdict``, one row a URL.
     """
-    spark = labelled.sparkSession
     items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("="), F.col("verdict")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    found = model.associationRules.where((F.element_at("consequent", 1) == "=block") & (F.size("antecedent") <= max_tokens)).where(
+    found = model.associationRules.where(F.element_at("consequent", 1) == "=block").where(
         ~F.exists("antecedent", lambda x: x.startswith("="))
     )
+    hits = F.round(F.col("support") * labelled.count())
+    found = found.where(wilson(hits, F.round(hits / F.col("confidence"))) >= min_confidence)
     found = cut(found.select(F.array_sort("antecedent").alias("tokens"), "confidence").withColumn("rule_id", F.concat_ws(" ", "tokens")))
+    parts = found.select(F.explode("tokens").alias("token"), "rule_id", F.size("tokens").alias("n_tokens"))
+    blocked = labelled.where(F.col("verdict") == "block").select("url", "host", F.explode("tokens").alias("token"))
+    site = F.array_join(F.slice(F.split("host", r"\."), F.greatest(F.size(F.split("host", r"\.")) - 1, F.lit(1)), F.lit(2)), ".")
+    spread = (
+        blocked.join(parts, "token").groupBy("url", "host", "rule_id", "n_tokens").count().where(F.col("count") == F.col("n_tokens"))
+        .select("rule_id", "host", site.alias("site")).distinct()
+        .groupBy("rule_id").agg(F.count_distinct("host").alias("hosts"), F.count_distinct("site").alias("sites"))
+        .where((F.col("hosts") >= MIN_HOSTS) & (F.col("sites") >= MIN_SITES))
+    )
+    found = cut(found.join(spread.select("rule_id"), "rule_id", "left_semi"))
     index = found.select(F.explode("tokens").alias("token"), "rule_id", F.size("tokens").alias("n_tokens"), "tokens", "confidence")
     # A longer rule whose part is a rule too adds no match.
     part = index.select("token", F.col("rule_id").alias("part"), F.col("n_tokens").alias("part_size"))
@@ -92,8 +116,8 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
         .withColumn("host", host).withColumn("path", path).withColumn("rule", name).withColumn("listed", verdict)
     )
     distinct = base.where(F.col("url").isNotNull()).select("url", "host", "path", "listed").distinct()
-    tokens = cut(distinct.select("url", "listed", url_tokens(F.col("url"), F.col("host"), F.col("path"), rules).alias("tokens")))
-    index = cut(mine_rules(tokens.where(F.col("listed").isNotNull()).select("tokens", F.col("listed").alias("verdict"))))
+    tokens = cut(distinct.select("url", "host", "listed", url_tokens(F.col("url"), F.col("host"), F.col("path"), rules).alias("tokens")))
+    index = cut(mine_rules(tokens.where(F.col("listed").isNotNull()).select("url", "host", "tokens", F.col("listed").alias("verdict"))))
     matched = (
         tokens.where(F.col("listed").isNull()).select("url", F.explode("tokens").alias("token")).join(index, "token")
         .groupBy("url", "rule_id", "n_tokens", "confidence").count().where(F.col("count") == F.col("n_tokens"))

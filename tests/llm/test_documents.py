@@ -125,6 +125,18 @@ def test_urls(spark):
     assert url_filter.judge(rows.where(F.lit(False))).count() == 0
 
 
+def test_mined_url_rules_need_evidence_beyond_the_list(spark):
+    urls = [f"http://evil.net/k{i}" for i in range(60)] + [f"http://s{i}.net/es/" for i in range(60)]
+    urls += [f"http://b{i}.net/one/two/three/four" for i in range(60)]
+    short = ["one/two/three", "one/two/four", "one/three/four", "two/three/four"]
+    urls += [f"http://g{i}.org/fr/{short[i % 4]}" for i in range(120)]
+    asked = ["http://evil.com/z", "http://y.com/es/a", "http://x.com/one/two/three/four", "http://x.com/one/two/three"]
+    rows = spark.createDataFrame(list(enumerate(urls + asked)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.judge(rows).collect()}
+    assert [got[len(urls) + k]["verdict"] for k in range(4)] == ["allow", "allow", "block", "allow"], "one host, a language, four tokens, three of them"
+    assert len(got[len(urls) + 2]["mined_rule"].split(" ")) == 4
+
+
 def test_pipeline_stages_keep_their_contract(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").unionByName(spark.createDataFrame([(None, None, None, None, None), (-1, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long"))
