@@ -4,11 +4,13 @@ A template is a black box: a function from a list of (role, text) turns to one s
 conversation is rendered for its successive turn prefixes; comparing consecutive outputs locates the
 span that each turn added. A template whose longer output does not start with the shorter one rewrites history: the
 conversation is marked ``rewrites`` and the spans are taken from the common prefix and suffix of the outputs.
-The loss mask covers the text of assistant turns inside their spans.
+The loss mask covers the text of assistant turns. It is located by rendering too: the turn is rendered with two
+texts that differ in their only character, and the place where the outputs differ is where the text starts; what follows that
+character follows the text. So no text is searched for, and a text that occurs in the marks cannot mislead.
 
-``escape_template`` is the template in use. It marks turns with ``### Role: `` and `` </turn>`` and
-escapes backslash, ``#`` and ``<`` in roles and texts with a backslash, so no text can forge a mark and
-every text can be read back.
+``escape_template`` is the template in use. It marks turns with ``### role: `` and `` </turn>`` and
+escapes backslash, ``#`` and ``<`` in roles and texts (in roles also the colon) with a backslash, so no text can forge a mark and
+every role and text can be read back as it was.
 
 One conversation is one row of work; its cost is the square of its number of turns, which is what
 prefix rendering of a black box takes. Conversations are independent and spread over all tasks.
@@ -47,7 +49,7 @@ def unescape(text: str) -> str:
 
 def escape_template(turns: Turns) -> str:
     """The whole conversation as one string."""
-    return "".join(f"### {escape(role[:1].upper() + role[1:]).replace(':', chr(92) + ':')}: {escape(text)} </turn>\n" for role, text in turns)
+    return "".join(f"### {escape(role).replace(':', chr(92) + ':')}: {escape(text)} </turn>\n" for role, text in turns)
 
 
 def parse(formatted: str) -> Turns:
@@ -56,14 +58,25 @@ def parse(formatted: str) -> Turns:
     for m in _TURN.finditer(formatted):
         if m.start() != at:
             raise ValueError(f"no turn at {at}")
-        role = unescape(m[1])
-        out.append((role[:1].lower() + role[1:], unescape(m[2])))
+        out.append((unescape(m[1]), unescape(m[2])))
         at = m.end()
     if at != len(formatted):
         raise ValueError(f"no turn at {at}")
     return out
 
 
+def common_prefix(a: str, b: str) -> int:
+    """Length of the longest common prefix, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def locate(turns: Turns, template: Callable[[Turns], str]) -> tuple[str, list[tuple[int, int]], bool]:
     """(output, span of each turn, whether the template rewrites history)."""
     before, spans, rewrites = template([]), [], False
@@ -73,7 +86,7 @@ def locate(turns: Turns, template: Callable[[Turns], str]) -> tuple[str, list[tu
             spans.append((len(before), len(after)))
         else:
             rewrites = True
-            same = next((i for i, (a, b) in enumerate(zip(before, after)) if a != b), min(len(before), len(after)))
+            same = common_prefix(before, after)
             tail, most = 0, min(len(before), len(after)) - same
             while tail < most and before[-1 - tail] == after[-1 - tail]:
                 tail += 1
@@ -82,15 +95,22 @@ def locate(turns: Turns, template: Callable[[Turns], str]) -> tuple[str, list[tu
     return before, spans, rewrites
 
 
-def loss_spans(turns: Turns, output: str, spans: list[tuple[int, int]], shown: Callable[[str], str]) -> list[tuple[int, int]]:
-    """Where the texts of assistant turns lie inside the spans of their turns."""
-    found = []
-    for (role, text), (start, end) in zip(turns, spans):
-        if role == "assistant":
-            at = output.rfind(shown(text), start, end)
-            if at >= 0:
-                found.append((at, at + len(shown(text))))
-    return found
+def text_span(turns: Turns, k: int, template: Callable[[Turns], str], shown: Callable[[str], str]) -> tuple[int, int] | None:
+    """Where the output of all ``turns`` shows the text of turn ``k``; None if it does not show it as ``shown`` says."""
+    role, text = turns[k]
+    one, two = (template([*turns[:k], (role, probe), *turns[k + 1 :]]) for probe in "01")
+    start = common_prefix(one, two)
+    if start == len(one):
+        return None
+    output, rest = template(turns), len(one) - start - 1
+    end = len(output) - rest
+    return (start, end) if end >= start and output[start:end] == shown(text) else None
+
+
+def loss_spans(turns: Turns, template: Callable[[Turns], str], shown: Callable[[str], str], rewrites: bool) -> list[tuple[int, int]]:
+    """Where the texts of assistant turns lie. Without rewriting the turns up to a turn fix its place."""
+    found = (text_span(turns if rewrites else turns[: k + 1], k, template, shown) for k, (role, _) in enumerate(turns) if role == "assistant")
+    return [span for span in found if span]
 
 
 def render(conversations: DataFrame, template: Callable[[Turns], str] = escape_template, shown: Callable[[str], str] = escape) -> DataFrame:
@@ -105,7 +125,7 @@ def render(conversations: DataFrame, template: Callable[[Turns], str] = escape_t
             for conv, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 pairs = [(x["role"], x["text"]) for x in listed]
                 output, spans, rewrites = locate(pairs, template)
-                loss = loss_spans(pairs, output, spans, shown)
+                loss = loss_spans(pairs, template, shown, rewrites)
                 as_rows = lambda s: [{"start": a, "end": b} for a, b in s]
                 rows.append({"conv_id": conv, "formatted": output, "spans": as_rows(spans), "loss": as_rows(loss), "rewrites": rewrites})
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
