@@ -18,6 +18,8 @@ ENDS_P = frozenset(
 #: Start tags that end an open element of the same group, inside the nearest element of the second set.
 SIBLING = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+#: For pages with an unclosed quotation mark: a tag ends at the next ``>``.
+_PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 
@@ -31,13 +33,18 @@ SIDE_TAGS = frozenset("nav aside footer form menu dialog button fieldset".split(
 
 
 class Page:
-    """Elements in page order: ``tag, parent, tokens``; blocks of text: ``(element, text)``."""
+    """Elements in page order: ``tag, parent, tokens``; blocks of text: ``(element, text)``.
+
+    Reading takes time in proportion to the page: each element knows its nearest block element, and for each tag the
+    places of its open elements are at hand, so nothing searches the open elements.
+    """
 
     def __init__(self, source: str):
         self.tag, self.parent, self.tokens, self.depth = ["#root"], [-1], [frozenset()], [0]
         self.blocks: list[tuple[int, str]] = []
         self.link_chars: Counter = Counter()
-        self._stack, self._open, self._hidden, self._run = [0], Counter(), 0, []
+        self._stack, self._open, self._hidden, self._run = [0], {}, 0, []
+        self._block, self._tag = [0], _TAG
         self._read(source)
 
     def _flush(self) -> None:
@@ -47,20 +54,14 @@ class Page:
                 self.blocks.append((self._run[0][0], text))
             self._run = []
 
-    def _block_element(self) -> int:
-        for node in reversed(self._stack):
-            if self.tag[node] not in INLINE:
-                return node
-        return 0
-
     def _text(self, raw: str) -> None:
         if self._hidden or not raw:
             return
         text = html.unescape(raw) if "&" in raw else raw
         if self._run or not text.isspace():
-            node = self._block_element()
+            node = self._block[self._stack[-1]]
             self._run.append((node, text))
-            if self._open["a"]:
+            if self._open.get("a"):
                 self.link_chars[node] += len(text.strip())
 
     def _pop(self) -> None:
@@ -68,33 +69,35 @@ class Page:
         tag = self.tag[node]
         if tag not in INLINE:
             self._flush()
-        self._open[tag] -= 1
+        self._open[tag].pop()
         self._hidden -= tag in HIDDEN
 
     def _close(self, tag: str) -> None:
-        if self._open[tag]:
-            while self.tag[self._stack[-1]] != tag:
-                self._pop()
+        if self._open.get(tag):
+            self._pop_to(self._open[tag][-1])
+
+    def _pop_to(self, place: int) -> None:
+        """Close all elements from ``place`` on the stack upwards."""
+        while len(self._stack) > place:
             self._pop()
 
+    def _last(self, tags: tuple[str, ...]) -> int:
+        """Place on the stack of the last open element of these tags."""
+        return max((self._open[t][-1] for t in tags if self._open.get(t)), default=-1)
+
     def _start(self, tag: str, attributes: str, closed: bool) -> None:
         if tag == "br":
             self._text(" ")
             return
         if tag not in INLINE:
             self._flush()
-        if tag in ENDS_P and self._open["p"]:
+        if tag in ENDS_P and self._open.get("p"):
             self._close("p")
         if tag in SIBLING:
             ends, inside = SIBLING[tag]
-            for node in reversed(self._stack):
-                if self.tag[node] in inside:
-                    break
-                if self.tag[node] in ends:
-                    while self._stack[-1] != node:
-                        self._pop()
-                    self._pop()
-                    break
+            place = self._last(ends)
+            if place > self._last(inside):
+                self._pop_to(place)
         if tag in VOID:
             return
         words: set[str] = set()
@@ -104,8 +107,9 @@ class Page:
         self.parent.append(self._stack[-1])
         self.tokens.append(frozenset(words))
         self.depth.append(len(self._stack))
+        self._block.append(self._block[self._stack[-1]] if tag in INLINE else len(self.tag) - 1)
+        self._open.setdefault(tag, []).append(len(self._stack))
         self._stack.append(len(self.tag) - 1)
-        self._open[tag] += 1
         self._hidden += tag in HIDDEN
 
     def _read(self, source: str) -> None:
@@ -125,7 +129,13 @@ class Page:
                 end = source.find(">", lt)
                 at = size if end < 0 else end + 1
                 continue
-            m = _TAG.match(source, lt)
+            m = self._tag.match(source, lt)
+            if not m and self._tag is _TAG and source[lt + 1 : lt + 3].strip("/")[:1].isalpha():
+                self._tag = _PLAIN_TAG  # a quotation mark stays open to the end: it is not tried again
+                m = self._tag.match(source, lt)
+            if not m and source.find(">", lt) < 0:  # no tag can follow
+                self._text(source[lt:])
+                break
             if not m:
                 self._text("<")
                 at = lt + 1

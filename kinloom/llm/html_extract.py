@@ -12,8 +12,8 @@ seed) whose main parts are known by construction: with and without semantic tags
 comments inside the article, with short and long paragraphs.
 
 Defined results: null html is empty; a page without main text gives an empty text; repeated rows
-are extracted each; an empty table gives no rows; further columns are ignored. Inside a block
-``br`` counts as white space.
+are extracted each; an empty table gives no rows; further columns are ignored; very long pages are read whole, in time
+proportional to their length. Inside a block ``br`` counts as white space.
 """
 
 from __future__ import annotations
@@ -73,7 +73,8 @@ def training_page(seed: int) -> tuple[str, set[str]]:
         elif kind < 0.78:
             body.append(f"<p>{say(_sentence(draw, 1, 2), True)}</p>")
         elif kind < 0.84:
-            body.append(f"<h{draw.randint(2, 4)}>{say(_sentence(draw, 2, 6), True)}</h2>")
+            level = draw.randint(2, 4)
+            body.append(f"<h{level}>{say(_sentence(draw, 2, 6), True)}</h{level}>")
         elif kind < 0.89:
             body.append("<ul>" + "".join(f"<li>{say(_sentence(draw, 3, 12), True)}</li>" for _ in range(3)) + "</ul>")
         elif kind < 0.93:
