@@ -3,7 +3,8 @@
 Texts up to ``CHUNK`` characters are encoded where they are read. Longer texts are cut into
 overlapping chunks that are spread over the cluster: each chunk is pre-tokenised by itself, the
 first boundary on which two neighbouring chunks agree inside their overlap is where they
-resynchronise, and the texts between such boundaries are encoded in parallel. A boundary counts only while
+resynchronise, and the texts between such boundaries are encoded in parallel. No boundary after white space is taken:
+a pattern may look ahead from white space, and a text that ends there would be split otherwise. A boundary counts only while
 every earlier overlap of the text agreed too; otherwise the rest of the text is encoded as one piece, so
 the ids are always those of the whole text. Decoding concatenates the raw bytes of the ids.
 
@@ -106,7 +107,7 @@ def _with_boundaries(chunks: DataFrame, pattern: str, size: int, overlap: int) -
             for start, part in zip(batch.column("_start").to_pylist(), batch.column("_part").to_pylist()):
                 cuts = boundaries(part, pattern)
                 heads.append([start + c for c in cuts if c < overlap])
-                tails.append([start + c for c in cuts[:-1] if size <= c])  # the last pre-token may go on beyond the chunk
+                tails.append([start + c for c in cuts[:-1] if size <= c and not part[c - 1].isspace()])  # the last pre-token may go on beyond the chunk
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, kind), pa.array(tails, kind)], names=[*batch.schema.names, "_head", "_tail"])
 
