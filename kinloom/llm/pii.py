@@ -16,7 +16,8 @@ disclosing terms is sent to the tasks if it has at most ``BROADCAST_TERMS`` rows
 terms of each text are joined with it.
 
 Defined results: null text is empty, empty text has no spans, rows with equal ids or texts are
-separate rows with results of their own, an empty table gives no rows, other columns pass through ``sanitise``.
+separate rows with results of their own, very long texts are read whole, an empty table gives no rows, other columns pass
+through ``sanitise`` whatever their names.
 """
 
 from __future__ import annotations
@@ -278,9 +279,10 @@ def _clean(text: str, spans: list[Span], terms) -> tuple[str]:
 
 def sanitise(docs: DataFrame, text_col: str = "text", bound: int = BROADCAST_TERMS) -> DataFrame:
     """``docs`` with entities replaced by their kind and disclosing terms generalised or removed in ``text_col``."""
-    others = [c for c in docs.columns if c != text_col]
-    clean = _annotate(docs, disclosing_terms(docs, text_col), text_col, bound, "_clean string", _clean, others)
-    return clean.select(*[F.col("_clean").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no column can clash with those in between
+    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()])
+    clean = _annotate(inner, disclosing_terms(docs, text_col), at[text_col], bound, "_clean string", _clean, [n for c, n in at.items() if c != text_col])
+    return clean.select(*[F.col("_clean" if c == text_col else n).alias(c) for c, n in at.items()])
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:
