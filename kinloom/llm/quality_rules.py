@@ -13,8 +13,9 @@ shuffled). The bucket weights, a fixed number of them, then become one literal a
 a narrow projection without any shuffle.
 
 Defined results: null text counts as no words, an empty table gives an empty result, rows with equal
-ids stay separate rows, no usable labels give weights of 0 (the base rules alone decide), further
-columns pass through ``apply_rules`` untouched.
+ids stay separate rows, very long texts are read whole, a score equal to the threshold is kept, no usable labels give
+weights of 0 (the base rules alone decide). Further columns pass through ``apply_rules`` untouched; a column that
+bears the name of a result (``COLUMNS``) gives way to it.
 """
 
 from __future__ import annotations
@@ -129,12 +130,14 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     single = F.aggregate("_h", F.lit(0.0), lambda acc, x: acc + F.get(table, _bucket(x)))
     pair = F.aggregate(F.sequence(F.lit(0), F.size("_h") - 2), F.lit(0.0), lambda acc, i: acc + F.get(table, _bucket(F.get("_h", i), F.get("_h", i + 1))))
     n_grams = F.greatest(F.col("n_words") * 2 - 1, F.lit(1))
-    return (
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no column can clash with those in between
+    text_col, docs = at[text_col], docs.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()])
+    judged = (
         base_counts(with_hashes(docs, text_col), text_col)
         .withColumn("score", F.round((single + F.when(F.size("_h") >= 2, pair).otherwise(F.lit(0.0))) / n_grams, 6))
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
-        .drop("_h")
     )
+    return judged.select(*[F.col(n).alias(c) for c, n in at.items() if c not in COLUMNS], *COLUMNS)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
