@@ -46,12 +46,13 @@ def block_slices(dims: int, blocks: int) -> list[slice]:
 
 def _unit(column: pa.Array, dims: int) -> np.ndarray:
     x = np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dims)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very large or small components leave the range of doubles
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _strips(classes: DataFrame, threshold: float, blocks: int) -> DataFrame:
     """Add ``strips array<int>``: the strip of each block."""
-    schema = "cls bigint, dims int, weight bigint, embedding array<double>, strips array<int>"
+    schema = f"cls bigint, dims int, weight bigint, embedding {classes.schema['embedding'].dataType.simpleString()}, strips array<int>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,12 +127,14 @@ def unit_links(rows: pa.Table, threshold: float, blocks: int) -> tuple[np.ndarra
 
 def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, blocks: int = BLOCKS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row."""
-    base = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    # Single-precision vectors are shuffled as they are; all arithmetic is in double precision.
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    base = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast(kind).alias("embedding"))
     sound = F.coalesce(
         F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0) & F.col("vec_id").isNotNull(), F.lit(False)
     )
     # -0.0 and 0.0 are the same component.
-    exact = F.sha2(F.array_join(F.transform("embedding", lambda x: (x + F.lit(0.0)).cast("string")), ","), 256)
+    exact = F.sha2(F.array_join(F.transform("embedding", lambda x: (x.cast("double") + F.lit(0.0)).cast("string")), ","), 256)
     keyed = cut(base.withColumn("key", F.when(sound, exact)))
     classes = (
         keyed.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
@@ -192,3 +195,18 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 def op9_embedding_neardup(spark, sf_dir: str) -> DataFrame:
     """Links and components of all vectors."""
     return linked(read(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE
+v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM s a JOIN s b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+n AS (SELECT u, count(*) AS n_links FROM l GROUP BY u),
+r AS (SELECT vec_id AS start, vec_id AS goal FROM v UNION SELECT r.start, l.w FROM r JOIN l ON r.goal = l.u),
+m AS (SELECT start, min(goal) AS component_id FROM r GROUP BY start)
+SELECT v.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, m.component_id, v.vec_id = m.component_id AS kept
+FROM v JOIN m ON m.start = v.vec_id LEFT JOIN n ON n.u = v.vec_id
+"""

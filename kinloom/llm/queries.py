@@ -6,7 +6,7 @@ import corpus_pipeline
 
 from .bpe import op2_bpe
 from .chat_format import OP7_SQL, op7_chat_format
-from .embedding_join import op9_embedding_neardup
+from .embedding_join import OP9_SQL, op9_embedding_neardup
 from .html_extract import op3_html_extract
 from .mixing import OP4_SQL, op4_mix_sources
 from .pii import op1_pii
@@ -33,6 +33,7 @@ ORACLES = {
     "op4_mix_sources": OP4_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op7_chat_format": OP7_SQL,
+    "op9_embedding_neardup": OP9_SQL,
 }
 
 if corpus_pipeline.ORACLE_SQL:
