@@ -6,14 +6,16 @@ Documents are sets of hashed word shingles; two documents link when
 1. One pass gives each document its set size and a 128-bit digest of its set (documents with equal
    sets are one class from here on), and counts shingles in a sketch of ``SKETCH`` counters. The sketch has a fixed
    size and only orders shingles from rare to frequent; any order gives the same links.
-2. Sets are split into parts of at most ``PART`` shingles by hash. A linked pair differs, in at least one part, by no
-   more than that part's share of the largest difference a link allows, so within that part the two share one of their
-   rarest shingles. These shingles route a part into signature trees.
-3. A tree node holds the OR of the token bitmaps below it, its size range and its slack (tokens that share a bit).
-   Two nodes can hold a link only if the bits they share and the slack reach the overlap that the sizes demand. Nodes are
-   built twice: inside each task before the shuffle, so that a group of copies leaves a task as one node however large it is,
-   and again where the nodes of a tree meet. Pairs of nodes that survive the bound become candidate edges;
-   members are linked to the head of their node, never to each other.
+2. The rarest shingles of a set, as many as two linked sets cannot both miss, route it into signature trees: one tree for
+   each shingle. The first shingle that two linked sets share brings them into one tree, where they share no more
+   than what follows it in both (the reach).
+3. A tree node holds the OR of the token bitmaps below it, its size range, its slack (tokens that share a bit) and its
+   largest reach. Two nodes can hold a link only if the bits they share with the slack, and the reach, come up to the overlap that the
+   sizes demand. Rows are leaves of ``LEAF``, ``FAN`` nodes make a node of the next level; two traversals at once go
+   down from the root into the surviving pairs of nodes only. Trees are built twice: inside each task before the shuffle, so that a
+   group of near copies leaves a task as one node however large it is, and again where the nodes of a tree meet.
+   Surviving pairs of rows become candidate edges, but only where earlier edges do not connect them already. The tree of a shingle
+   of very many documents is split into trees of pairs of its parts.
 4. Connected components of the candidate edges confine all links.
 5. Inside a component the real sets are compared. Small components are packed together; large ones are cut into blocks by size and
    hash, each compared within itself and with a few pivots of the component. Only documents that are then
@@ -24,7 +26,8 @@ Every step writes spanning edges, so no group is ever expanded into its pairs.
 Defined results: null or empty text has an empty set and links with nothing; a document with fewer words
 than a shingle has one shingle, its whole sequence; repeated rows each get a result; rows of one id with
 different texts are each linked by their own text, and texts with the same smallest id share a component; a
-null id links with nothing; an empty table gives no rows; further columns are ignored.
+null id links with nothing; very long texts are hashed whole, in one task each; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, read, text_of
@@ -43,9 +46,12 @@ from .graph import components
 
 WORDS, PERCENT = 5, 80
 SKETCH, SKETCH_PARTS = 1 << 20, 64
-PART, BITS = 128, 128
-#: Rows that a task collects before it builds nodes.
-HELD = 1_000_000
+#: Bits of a node's bitmap; sets above ``BITMAP_SIZE`` shingles would fill it and have none.
+BITS, BITMAP_SIZE = 128, 512
+#: Rows that a task collects before it builds nodes, classes it remembers, words whose hashes it keeps.
+HELD, SEEN, WORD_HASHES = 100_000, 200_000, 200_000
+#: Rows of a leaf, children of a node, pairs of leaves compared at once, rows of a tree of a frequent shingle.
+LEAF, FAN, PAIRS, TREE_ROWS = 32, 8, 64, 100_000
 #: Documents of a block, shingles of a block, pivots of a large component.
 BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS = 256, 400_000, 4
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -55,7 +61,7 @@ class _Hashes(dict):
     """Word -> 64-bit hash, with a bound on its size."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > WORD_HASHES:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -103,14 +109,14 @@ def _bytes(column: pa.Array) -> Iterator[bytes]:
 
 
 def signatures(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
-    """(``doc_id, n, h`` of every row, the counters of the sketch)."""
+    """(``doc_id, text_key, n, h`` of every row, the counters of the sketch)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counters = _Hashes(), np.zeros(SKETCH, dtype=np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("n", pa.int64()), ("h", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             sizes, digests = [], []
-            for text in _bytes(batch.column(1)):
+            for text in _bytes(batch.column(2)):
                 own = shingles(text, words, hashes)
                 sizes.append(len(own))
                 digests.append(_digest(own) if len(own) else None)
@@ -118,12 +124,12 @@ def signatures(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
                 if len(own) <= SKETCH // 8:
                     np.add.at(counters, (own & np.uint64(SKETCH - 1)).astype(np.int64), 1)
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         for part, counts in enumerate(np.split(counters, SKETCH_PARTS)):
-            row = {"doc_id": None, "n": None, "h": None, "part": part, "counts": _packed(counts)}
+            row = {"doc_id": None, "text_key": None, "n": None, "h": None, "part": part, "counts": _packed(counts)}
             yield pa.RecordBatch.from_pylist([row], schema=schema)
 
-    both = cut(docs.select("doc_id", text_of("text").cast("binary").alias("text")).mapInArrow(work, "doc_id bigint, n bigint, h binary, part int, counts binary"))
+    both = cut(docs.select("doc_id", "text_key", text_of("text").cast("binary").alias("text")).mapInArrow(work, "doc_id bigint, text_key binary, n bigint, h binary, part int, counts binary"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}  # SKETCH counters at most, however many rows come
@@ -143,124 +149,204 @@ def signatures(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     step = SKETCH // SKETCH_PARTS
     for r in summed.collect():  # SKETCH counters, a fixed number
         counters[r["part"] * step : (r["part"] + 1) * step] = _unpacked(r["counts"])
-    return both.where(F.col("part").isNull()).select("doc_id", "n", "h"), counters
+    return both.where(F.col("part").isNull()).select("doc_id", "text_key", "n", "h"), counters
 
 
 # Steps 2 and 3 -----------------------------------------------------------------------------------
 
-#: Columns of tree nodes: tree, head, bitmap and, packed into one number to keep the shuffle small, slack, least and
-#: largest part size and allowed difference. In memory these are eight rows of an array.
-NODE = "key bigint, node bigint, b0 bigint, b1 bigint, sizes bigint"
-
-
-def part_count(n: int) -> int:
-    """Parts of a set of ``n`` shingles: a power of two."""
-    parts = 1
-    while n > PART * parts:
-        parts *= 2
-    return parts
-
-
-def routes(own: np.ndarray, node: int, rank: np.ndarray, percent: int) -> list[np.ndarray]:
-    """Node rows of one document: one for each rare shingle of each part."""
-    n, out = len(own), []
-    for parts in sorted({part_count(n), part_count(n * 100 // percent)}):
-        allowed = n * (100 - percent) // percent // parts
-        prefix = min(allowed, n * (100 - percent) // 100) if parts == 1 else allowed
-        part = ((own >> np.uint64(20)) & np.uint64(parts - 1)).astype(np.int64)
-        order = np.lexsort((rank, part))
-        sorted_part = part[order]
-        sizes = np.bincount(part, minlength=parts)
-        place = np.arange(n) - (np.cumsum(sizes) - sizes)[sorted_part]
-        take = place <= prefix
-        bits = np.zeros((parts, BITS), dtype=np.uint8)
-        bits[part, ((own >> np.uint64(40)) & np.uint64(BITS - 1)).astype(np.int64)] = 1
-        packed = np.packbits(bits, axis=1).view(np.int64)
-        slack = sizes - bits.sum(axis=1, dtype=np.int64)
-        at = sorted_part[take]
-        key = _mixed(own[order][take] + np.uint64(parts)).view(np.int64)
-        same = np.full(len(key), node, dtype=np.int64)
-        out.append(np.stack([key, same, packed[at, 0], packed[at, 1], slack[at], sizes[at], sizes[at], np.full(len(key), allowed)]))
-    return out
+#: Columns of tree nodes: tree, head, bitmap, least and largest set size packed into one number, slack and reach into another.
+#: In memory these are eight rows of an array: tree, head, two bitmap words, slack, least size, largest size, reach.
+NODE = "key bigint, node bigint, b0 bigint, b1 bigint, sizes bigint, reach bigint"
+_COMBINE = ((2, np.bitwise_or), (3, np.bitwise_or), (4, np.maximum), (5, np.minimum), (6, np.maximum), (7, np.maximum))
+
 
+def routes(own: np.ndarray, node: int, counts: np.ndarray, percent: int, floor: int = 0) -> np.ndarray:
+    """Node rows of one document, one for each shingle of its prefix: its rarest shingles by (counter, hash).
 
-def _can_link(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether the nodes at ``i`` and ``j`` may hold a link: their shared bits and slack against the overlap they need."""
+    Two linked sets share a shingle, and the first one that they share lies in both prefixes. In the tree of that
+    shingle the two can share no more than what follows it: the reach. A shingle whose counter exceeds ``floor`` by
+    ``m * TREE_ROWS`` has m * (m + 1) / 2 trees, one for each pair of m parts, so no tree outgrows a task.
+    """
+    n = len(own)
+    prefix = n - -(-n * percent // 100) + 1
+    order = np.argsort(counts, kind="stable")[:prefix]  # ``own`` is sorted, so ties are in order of the hash
+    rows = np.empty((8, prefix), dtype=np.int64)
+    rows[0] = own[order].view(np.int64)
+    rows[1] = node
+    if n <= BITMAP_SIZE:
+        bits = np.zeros(BITS, dtype=np.uint8)
+        bits[((own >> np.uint64(40)) & np.uint64(BITS - 1)).astype(np.int64)] = 1
+        words = np.packbits(bits).view(np.int64)
+        rows[2], rows[3], rows[4] = words[0], words[1], n - int(bits.sum())
+    else:  # nearly all bits would be set
+        rows[2], rows[3], rows[4] = -1, -1, n
+    rows[5] = rows[6] = n
+    rows[7] = n - np.arange(prefix)
+    parts = (counts[order].astype(np.int64) - floor) // TREE_ROWS
+    if not (parts > 1).any():
+        return rows
+    out = [rows[:, parts <= 1]]
+    for k in np.flatnonzero(parts > 1):
+        m = int(parts[k])
+        other = np.arange(m)
+        mine = node % m
+        copies = np.repeat(rows[:, k : k + 1], m, axis=1)
+        pair = np.minimum(other, mine) * m + np.maximum(other, mine) + 1
+        copies[0] = _mixed(copies[0].view(np.uint64) + pair.astype(np.uint64) * _MIX[0]).view(np.int64)
+        out.append(copies)
+    return np.concatenate(out, axis=1)
+
+
+def _can_link(rows: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the nodes at ``i`` and ``j`` may hold a link: the largest possible overlap against what their sizes demand."""
     ones = lambda k: np.bitwise_count((rows[k, i] & rows[k, j]).view(np.uint64)).astype(np.int64)
-    shared = ones(2) + ones(3)
-    most = np.minimum(shared + np.minimum(rows[4, i], rows[4, j]), np.minimum(rows[6, i], rows[6, j]))
-    return 2 * most >= rows[5, i] + rows[5, j] - np.minimum(rows[7, i], rows[7, j])
+    most = np.minimum(ones(2) + ones(3) + np.minimum(rows[4, i], rows[4, j]), np.minimum(rows[7, i], rows[7, j]))
+    enough = (100 + percent) * most >= percent * (rows[5, i] + rows[5, j])
+    return enough & (100 * rows[6, i] >= percent * rows[5, j]) & (100 * rows[6, j] >= percent * rows[5, i])
 
 
-def build_nodes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes one level up, candidate edges) of node rows of whole trees.
+def _combined(rows: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """One node for each run of rows that starts at ``begin``: OR of the bitmaps, widest ranges; the first row is the head."""
+    up = rows[:, begin].copy()
+    for k, combine in _COMBINE:
+        up[k] = combine.reduceat(rows[k], begin)
+    return up
 
-    Within a tree the first free row heads a node and takes all free rows that may link with it; then
-    the nodes of the tree are compared with each other.
+
+class Trees:
+    """The signature trees of node rows: joined pairs are candidate edges, joined rows share a label.
+
+    Rows are in order of (tree, size, reach). ``LEAF`` neighbours form a leaf, ``FAN`` nodes a node of the next level,
+    up to one root. ``compared`` counts the pairs of rows and of nodes that were looked at.
     """
-    rows = rows[:, np.lexsort((rows[1], rows[0]))]
-    first = np.ones(rows.shape[1], dtype=bool)
-    first[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
-    rows = rows[:, first]  # documents with equal sets
-    n = rows.shape[1]
-    new_tree = np.ones(n, dtype=bool)
-    new_tree[1:] = rows[0, 1:] != rows[0, :-1]
-    tree = np.cumsum(new_tree) - 1
-    head = np.full(n, -1, dtype=np.int64)
-    free = np.arange(n)
-    alone = np.bincount(tree, minlength=1)[tree] == 1
-    head[alone] = free[alone]
-    free = free[~alone]
-    while len(free):
-        starts = np.ones(len(free), dtype=bool)
-        starts[1:] = tree[free[1:]] != tree[free[:-1]]
-        leader = free[starts][np.cumsum(starts) - 1]
-        joins = (leader == free) | _can_link(rows, leader, free)
-        head[free[joins]] = leader[joins]
-        free = free[~joins]
-    member = np.flatnonzero(head != np.arange(n))
-    edges = [np.stack([rows[1, member], rows[1, head[member]]])]
-    order = np.argsort(head, kind="stable")
-    heads, begin = np.unique(head[order], return_index=True)
-    up = rows[:, heads].copy()
-    if len(member):
-        grouped = rows[:, order]
-        for k, combine in ((2, np.bitwise_or), (3, np.bitwise_or), (4, np.maximum), (5, np.minimum), (6, np.maximum), (7, np.maximum)):
-            up[k] = combine.reduceat(grouped[k], begin)
-    count = np.bincount(tree[heads], minlength=1) if len(heads) else np.zeros(1, dtype=np.int64)
-    several = np.flatnonzero(count[tree[heads]] > 1) if len(heads) else np.zeros(0, dtype=np.int64)
-    distance = 1
-    while len(several) > distance:
-        i, j = several[:-distance], several[distance:]
-        same = tree[heads[i]] == tree[heads[j]]
-        if not same.any():
-            break
-        i, j = i[same], j[same]
-        keep = _can_link(up, i, j)
-        edges.append(np.stack([up[1, i[keep]], up[1, j[keep]]]))
-        distance += 1
-    found = np.concatenate(edges, axis=1)
-    found = np.stack([found.max(axis=0), found.min(axis=0)])
-    found = np.unique(found[:, found[0] != found[1]], axis=1) if found.shape[1] else found
-    return up, found
+
+    def __init__(self, rows: np.ndarray, percent: int):
+        rows = rows[:, np.lexsort((rows[1], rows[0]))]
+        if rows.shape[1]:  # rows of one class in one tree
+            rows = _combined(rows, np.flatnonzero(np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])])))
+        self.rows = rows[:, np.lexsort((rows[7], rows[5], rows[0]))]
+        self.percent, self.edges, self.compared = percent, [], 0
+        n = self.rows.shape[1]
+        self.label = np.arange(n)
+        if not n:
+            return
+        begin = np.flatnonzero(np.concatenate([[True], self.rows[0, 1:] != self.rows[0, :-1]]))
+        size = np.diff(np.append(begin, n))
+        place = np.arange(n) - np.repeat(begin, size)
+        after = np.minimum(LEAF - 1 - place % LEAF, np.repeat(size, size) - 1 - place)  # rows that follow in the leaf
+        at, distance = np.flatnonzero(after >= 1), 1
+        while len(at):
+            self._compare(at, at + distance)
+            distance += 1
+            at = at[after[at] >= distance]
+        for t in np.flatnonzero(size > LEAF):
+            self._descend(int(begin[t]), int(begin[t] + size[t]))
+
+    def _compare(self, i: np.ndarray, j: np.ndarray) -> None:
+        apart = self.label[i] != self.label[j]
+        i, j = i[apart], j[apart]
+        self.compared += len(i)
+        keep = _can_link(self.rows, i, j, self.percent)
+        i, j = i[keep], j[keep]
+        if not len(i):
+            return
+        # One edge joins two labels, however many pairs of their rows survive.
+        a, b = self.label[i], self.label[j]
+        _, one = np.unique(np.minimum(a, b) * len(self.label) + np.maximum(a, b), return_index=True)
+        i, j = i[one], j[one]
+        self.edges.append(np.stack([self.rows[1, i], self.rows[1, j]]))
+        while True:
+            a, b = self.label[i], self.label[j]
+            if (a == b).all():
+                return
+            np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
+            while True:
+                further = self.label[self.label]
+                if (further == self.label).all():
+                    break
+                self.label = further
+
+    def _descend(self, start: int, end: int) -> None:
+        """Dual traversal of one tree from its root down to pairs of leaves."""
+        leaf = np.arange(start, end, LEAF)
+        levels, spans = [_combined(self.rows[:, start:end], leaf - start)], [leaf]
+        while levels[-1].shape[1] > 1:
+            first = np.arange(0, levels[-1].shape[1], FAN)
+            levels.append(_combined(levels[-1], first))
+            spans.append(spans[-1][first])
+
+        def settled(level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Pairs of nodes whose rows all have one label."""
+            begin = spans[level] - start
+            least, most = np.minimum.reduceat(self.label[start:end], begin), np.maximum.reduceat(self.label[start:end], begin)
+            return (least[a] == most[a]) & (least[b] == most[b]) & (least[a] == least[b])
+
+        def rows_of(a: np.ndarray, b: np.ndarray) -> None:
+            step = np.arange(LEAF)
+            i = np.broadcast_to((leaf[a][:, None] + step)[:, :, None], (len(a), LEAF, LEAF)).ravel()
+            j = np.broadcast_to((leaf[b][:, None] + step)[:, None, :], (len(a), LEAF, LEAF)).ravel()
+            inside = (i < np.repeat(np.minimum(leaf[a] + LEAF, end), LEAF * LEAF)) & (j < np.repeat(np.minimum(leaf[b] + LEAF, end), LEAF * LEAF))
+            self._compare(i[inside], j[inside])
+
+        # Neighbouring leaves first: members of a group of near copies mostly meet here, which settles pairs above them.
+        near = np.arange(len(leaf) - 1)
+        for k in range(0, len(near), PAIRS):
+            rows_of(near[k : k + PAIRS], near[k : k + PAIRS] + 1)
+        root = np.zeros(1, dtype=np.int64)
+        stack = [(len(levels) - 1, root, root)]
+        while stack:
+            level, a, b = stack.pop()
+            self.compared += len(a)
+            keep = _can_link(levels[level], a, b, self.percent) & ~settled(level, a, b)
+            a, b = a[keep], b[keep]
+            if not len(a):
+                continue
+            if level == 0:
+                for k in range(0, len(a), PAIRS):
+                    x, y = a[k : k + PAIRS], b[k : k + PAIRS]
+                    rest = (y - x > 1) & ~settled(0, x, y)
+                    if rest.any():
+                        rows_of(x[rest], y[rest])
+                continue
+            below, step = levels[level - 1].shape[1], np.arange(FAN)
+            x = np.broadcast_to((a[:, None] * FAN + step)[:, :, None], (len(a), FAN, FAN)).ravel()
+            y = np.broadcast_to((b[:, None] * FAN + step)[:, None, :], (len(a), FAN, FAN)).ravel()
+            inside = (x < below) & (y < below) & (x <= y)
+            x, y = x[inside], y[inside]
+            for k in range(0, len(x), 64 * PAIRS):
+                stack.append((level - 1, x[k : k + 64 * PAIRS], y[k : k + 64 * PAIRS]))
+
+    def found(self) -> np.ndarray:
+        """Distinct candidate edges between heads."""
+        if not self.edges:
+            return np.zeros((2, 0), dtype=np.int64)
+        both = np.concatenate(self.edges, axis=1)
+        both = np.stack([both.max(axis=0), both.min(axis=0)])
+        return np.unique(both[:, both[0] != both[1]], axis=1)
+
+    def merged(self) -> np.ndarray:
+        """One node for each label: a group of near copies leaves a task as one row a tree."""
+        order = np.argsort(self.label, kind="stable")
+        own = self.label[order]
+        return _combined(self.rows[:, order], np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))) if len(own) else self.rows
 
 
 _TREE_SCHEMA = pa.schema([(x.split()[0], pa.int64()) for x in NODE.split(", ")])
 
 
 def _node_batch(rows: np.ndarray) -> pa.RecordBatch:
-    """Node rows as a batch; the sizes of a part stay far below 2**15."""
-    sizes = (rows[4] << 48) | (rows[5] << 32) | (rows[6] << 16) | (rows[7] + 1)
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (*rows[:4], sizes)], schema=_TREE_SCHEMA)
+    """Node rows as a batch; sizes stay below 2**31."""
+    columns = (*rows[:4], (rows[5] << 32) | rows[6], (rows[4] << 32) | (rows[7] + 1))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_TREE_SCHEMA)
 
 
 def _node_rows(batch: pa.RecordBatch) -> np.ndarray:
-    *head, sizes = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-    return np.stack([*head, sizes >> 48, (sizes >> 32) & 0xFFFF, (sizes >> 16) & 0xFFFF, (sizes & 0xFFFF) - 1])
+    key, node, b0, b1, sizes, reach = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+    return np.stack([key, node, b0, b1, reach >> 32, sizes >> 32, sizes & 0xFFFFFFFF, (reach & 0xFFFFFFFF) - 1])
 
 
 def _edge_rows(edges: np.ndarray) -> np.ndarray:
-    """Edges in the form of node rows: marked by an allowed difference below zero."""
+    """Edges in the form of node rows: marked by a reach below zero."""
     rows = np.zeros((8, edges.shape[1]), dtype=np.int64)
     rows[1], rows[2], rows[7] = edges[0], edges[1], -1
     rows[0] = _mixed(edges[0].astype(np.uint64) ^ (edges[1].astype(np.uint64) << np.uint64(1))).view(np.int64)  # spreads edges over the trees
@@ -270,29 +356,36 @@ def _edge_rows(edges: np.ndarray) -> np.ndarray:
 def candidate_edges(docs: DataFrame, counters: np.ndarray, words: int, percent: int) -> DataFrame:
     """``u, v``: candidate edges between classes, named by the first 8 bytes of their digests."""
     sketch = docs.sparkSession.sparkContext.broadcast(counters)
+    floor = int(counters.mean())
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = _Hashes(), sketch.value
         held: list[np.ndarray] = []
+        seen: set[int] = set()
         size = 0
 
         def emit() -> Iterator[pa.RecordBatch]:
-            up, edges = build_nodes(np.concatenate(held, axis=1))
-            rows = np.concatenate([up, _edge_rows(edges)], axis=1)
-            for at in range(0, rows.shape[1], 100_000):
-                yield _node_batch(rows[:, at : at + 100_000])
+            rows = np.concatenate(held, axis=1)
+            held.clear()
+            trees = Trees(rows, percent)
+            del rows
+            yield _node_batch(trees.merged())
+            yield _node_batch(_edge_rows(trees.found()))
 
         for batch in batches:
             for text in _bytes(batch.column(0)):
                 own = shingles(text, words, hashes)
-                if len(own):
-                    node = int.from_bytes(_digest(own)[:8], "big", signed=True)
-                    for rows in routes(own, node, counts[(own & np.uint64(SKETCH - 1)).astype(np.int64)], percent):
-                        held.append(rows)
-                        size += rows.shape[1]
+                node = int.from_bytes(_digest(own)[:8], "big", signed=True)
+                if not len(own) or node in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(node)
+                held.append(routes(own, node, counts[(own & np.uint64(SKETCH - 1)).astype(np.int64)], percent, floor))
+                size += held[-1].shape[1]
                 if size > HELD:
                     yield from emit()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield from emit()
 
@@ -303,8 +396,7 @@ def candidate_edges(docs: DataFrame, counters: np.ndarray, words: int, percent:
 
         def settle(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             known = rows[7] < 0
-            made = build_nodes(rows[:, ~known])[1] if (~known).any() else np.zeros((2, 0), dtype=np.int64)
-            every = np.concatenate([made, rows[1:3, known]], axis=1)
+            every = np.concatenate([Trees(rows[:, ~known], percent).found(), rows[1:3, known]], axis=1)
             every = np.unique(every, axis=1) if every.shape[1] else every
             yield pa.RecordBatch.from_arrays([pa.array(every[0]), pa.array(every[1])], schema=schema)
 
@@ -316,7 +408,8 @@ def candidate_edges(docs: DataFrame, counters: np.ndarray, words: int, percent:
                 whole = int(np.searchsorted(rows[0], rows[0, -1]))  # rows come in order of their trees; the last may go on
                 if whole:
                     yield from settle(rows[:, :whole])
-                held, size = [rows[:, whole:]], rows.shape[1] - whole
+                held, size = [rows[:, whole:].copy()], rows.shape[1] - whole
+                del rows
         if size:
             yield from settle(np.concatenate(held, axis=1))
 
@@ -405,7 +498,7 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             keep, sets = [], []
             for k, (text, digest) in enumerate(zip(_bytes(batch.column("text")), batch.column("want"))):
                 own = shingles(text, words, hashes)
@@ -491,10 +584,12 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int
     return first.unionByName(second)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row: the smallest id reachable by links."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, text_key: Column | None = None) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row: the smallest id reachable by links; ``text_key`` (binary) passes through if given."""
+    key = text_key if text_key is not None else F.lit(None).cast("binary")
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), key.alias("text_key"))
     own, counters = signatures(base, words)
+    base = base.drop("text_key")
     node = F.conv(F.substring(F.hex("h"), 1, 16), 16, -10).cast("bigint")
     known = own.where(F.col("h").isNotNull() & F.col("doc_id").isNotNull())
     classes = cut(known.groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).withColumn("node", node))
@@ -505,10 +600,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         classes.join(links, F.col("rep") == F.col("l_node"), "left").select(F.col("h").alias("c_h"), F.coalesce("component", "rep").alias("component_id"))
     )
     return own.join(found, F.col("h") == F.col("c_h"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *(["text_key"] if text_key is not None else [])
     )
 
 
+def one_per_component(docs: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``columns`` of one row for each component: a row stays if its own text's component has its id.
+
+    Of rows that agree in id and text one stays, the least by the other columns. Rows of one id with different
+    texts are judged each by its own text. Rows without an id stay.
+    """
+    key = lambda: F.unhex(F.md5(text_of(text_col).cast("binary")))
+    groups = jaccard_components(docs, id_col, text_col, words, percent, key())
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key")).distinct()
+    rest = [c for c in columns if c not in (id_col, text_col)]
+    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), key().alias("_key"), F.struct(*rest, text_col).alias("_row"))
+    chosen = named.join(kept, (F.col("_id") == F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key")), "left_semi").groupBy("_id", "_key").agg(F.min("_row").alias("_row"))
+    return chosen.select(*[F.col("_id").alias(c) if c == id_col else F.col("_row")[c].alias(c) for c in columns]).unionByName(docs.where(F.col(id_col).isNull()).select(*columns))
+
+
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Components of all documents at three words and a similarity of 0.9."""
     return jaccard_components(read(spark, sf_dir, "documents"), words=3, percent=90)
