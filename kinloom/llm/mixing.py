@@ -8,8 +8,8 @@ sorted and prefix-summed one by one; all others are taken whole or not at all by
 bucket with the cut. Where a target exceeds the source's size, whole epochs come first.
 
 Defined results: null text has size 0, null source is a source of its own (after all others), rows
-with equal ids and texts are separate rows, an empty table gives an empty result, other columns
-pass through untouched.
+with equal ids and texts are separate rows, very long texts are counted whole, an empty table gives an empty result,
+columns named in ``keep`` pass through, others do not.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ from .common import WORD, cut, read
 
 #: Documents in a bucket, on average.
 BUCKET_ROWS = 2000
+#: Neighbouring buckets that are summed together first, so a prefix sum runs over rows / (BUCKET_ROWS * GROUP_BUCKETS) sums.
+GROUP_BUCKETS = 1024
+#: Most sources whose plans are broadcast.
+BROADCAST_SOURCES = 10_000
 #: Weights of the sources in code point order, repeated.
 WEIGHTS = (3, 1, 2)
 #: Share of all words that the mix takes, and the most often that a source is repeated.
@@ -72,6 +76,14 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, mo
     )
 
 
+def _ending(sums: DataFrame, by: str, *others: str) -> DataFrame:
+    """The row of each source in which its ``rest`` ends, with the sum ``before`` it; rows are in order of ``by``."""
+    before = Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    ends = (F.col("before") <= F.col("rest")) & (F.col("before") + F.col("size") > F.col("rest"))
+    found = sums.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where(ends)
+    return found.groupBy("source").agg(F.min(F.struct(by, "before", *others)).alias("c")).select("source", "c.*")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: ``doc_id, size, source_size, target, taken`` and the columns of ``keep``.
 
@@ -79,14 +91,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     document of a source's budget is taken in part, so that a source's taken words equal its target
     rounded to whole words.
     """
-    base = docs.select(
+    keyed = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         word_count(text_col).alias("size"),
         hash_key(F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("key"),
         *[F.col(k).alias(f"keep_{k}") for k in keep],
     )
-    base = cut(base)
+    base = cut(keyed.select("doc_id", "source", "size", "key"))  # texts are not written here, they are read again at the end
     sources = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     plan = cut(
         source_targets(sources)
@@ -96,16 +108,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("n_buckets", F.ceil(F.col("n_rows") / F.lit(BUCKET_ROWS)).cast("bigint"))
     )
     bucket = F.floor(F.col("key").cast("double") / F.lit(float(_KEY_SPACE)) * F.col("n_buckets")).cast("bigint")
-    rows = base.join(plan.withColumnRenamed("source", "plan_source"), F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source").withColumn("bucket", bucket)
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"), F.first("rest").alias("rest"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = cut(
-        sums.withColumn("before", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
-        .where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("bucket_size") > F.col("rest")))
-        .groupBy("source").agg(F.min(F.struct(F.col("bucket").alias("cut_bucket"), F.col("before").alias("cut_before"))).alias("c"))
-        .select(F.col("source").alias("cut_source"), "c.cut_bucket", "c.cut_before")
+    # One row per source; sent to all tasks only where their number is checked to be small, so texts need no shuffle.
+    sent = F.broadcast if plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else (lambda rows: rows)
+    placing = lambda rows: rows.join(sent(plan.withColumnRenamed("source", "plan_source")), F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source").withColumn("bucket", bucket)
+    sums = cut(placing(base).groupBy("source", "bucket").agg(F.sum("size").alias("size"), F.first("rest").alias("rest")).withColumn("group", F.floor(F.col("bucket") / F.lit(GROUP_BUCKETS))))
+    # Two levels of prefix sums: over groups of buckets, then over the buckets of the one group in which the budget ends.
+    in_group = _ending(sums.groupBy("source", "group").agg(F.sum("size").alias("size"), F.first("rest").alias("rest")), "group").select(
+        F.col("source").alias("g_source"), F.col("group").alias("g_group"), F.col("before").alias("g_before")
     )
-    placed = rows.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
+    inner = sums.join(in_group, F.col("source").eqNullSafe(F.col("g_source")) & (F.col("group") == F.col("g_group"))).withColumn("rest", F.col("rest") - F.col("g_before"))
+    cuts = cut(_ending(inner, "bucket", "g_before").select(F.col("source").alias("cut_source"), F.col("bucket").alias("cut_bucket"), (F.col("before") + F.col("g_before")).alias("cut_before")))
+    rows = placing(keyed if keep else base)
+    placed = rows.join(sent(cuts), F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
     out = [F.col(c) for c in ("doc_id", "source", "size", "source_size", "target")]
     kept = [F.col(f"keep_{k}").alias(k) for k in keep if k not in ("doc_id", "source", "size")]
     whole = F.col("epochs") * F.col("size")
