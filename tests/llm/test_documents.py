@@ -40,8 +40,10 @@ def test_quality_rules_count_like_a_loop(spark):
     docs = spark.createDataFrame([(i % 9, t, t) for i, t in enumerate(texts)], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(8, 1, 0), (5, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     for rows in (labels, labels.where(F.lit(False))):
-        got = quality_rules.apply_rules(docs.drop("score"), rows).collect()
-        assert len(got) == len(texts)
+        got = quality_rules.apply_rules(docs.withColumn("_h", F.lit(1)).withColumn("_t", F.lit("x")), rows)
+        assert got.columns == ["doc_id", "text", "_h", "_t", *quality_rules.COLUMNS]
+        got = got.collect()
+        assert len(got) == len(texts) and all(r["_h"] == 1 and r["_t"] == "x" for r in got)
         for r in got:
             assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == plain_counts(r["text"])
             assert not (r["base_failed"] and r["kept"])
@@ -82,10 +84,57 @@ def test_chat_round_trip(spark):
         assert chat_format.parse(r["formatted"]) == own and not r["rewrites"]
         loss = [chat_format.unescape(r["formatted"][s["start"] : s["end"]]) for s in r["loss"]]
         assert loss == [text for role, text in own if role == "assistant"]
+    for role in ("assistant", "Assistant", "\u00dfa", ""):
+        assert chat_format.parse(chat_format.escape_template([(role, "t")])) == [(role, "t")]
     forgetful = lambda turns: "".join(f"{r}={t};" for r, t in turns[-2:])
     assert all(r["rewrites"] for r in chat_format.render(rows.where("conv_id is not null"), forgetful, lambda t: t).collect())
 
 
+def test_loss_mask_lies_on_the_text():
+    closing = " </turn>\n"
+    texts = {closing[a:b] for a in range(len(closing)) for b in range(a, len(closing) + 1)} | {"### assistant: ", ": ", "0", "1", "\\", "a" * 50}
+    for text in texts:
+        for turns in ([("user", "q"), ("assistant", text), ("user", text)], [("assistant", text)], [("assistant", "x"), ("assistant", text)]):
+            output, spans, rewrites = chat_format.locate(turns, chat_format.escape_template)
+            own = [k for k, t in enumerate(turns) if t[0] == "assistant"]
+            want = []
+            for k in own:
+                start = len(chat_format.escape_template(turns[:k])) + len("### assistant: ")
+                want.append((start, start + len(chat_format.escape(turns[k][1]))))
+            assert chat_format.loss_spans(turns, chat_format.escape_template, chat_format.escape, rewrites) == want
+    numbered = lambda turns: f"{len(turns)} turns\n" + "".join(f"{r}: {t}\n" for r, t in turns)
+    turns = [("user", "q"), ("assistant", "user"), ("assistant", "")]
+    output, _, rewrites = chat_format.locate(turns, numbered)
+    assert rewrites and [output[a:b] for a, b in chat_format.loss_spans(turns, numbered, lambda t: t, True)] == ["user", ""]
+    assert chat_format.loss_spans(turns, lambda turns: str(len(turns)), lambda t: t, False) == []
+
+
+def test_long_pages_are_read_in_linear_time():
+    import time
+
+    from kinloom.llm.dom import Page
+
+    n = 100_000
+    pages = ["<b>" * n, "<b>x" * n, "<li>" * n, "<ul><li>" * n, "<table><tr><td>" + "<b><tr>" * n, '<a "' * n, "<a '" * n + ">", "<p><b>" * n, "<" * n, "<option>" * n]
+    for source in pages:
+        began = time.perf_counter()
+        Page(source)
+        assert time.perf_counter() - began < 8, source[:20]
+    assert [t for _, t in Page("<p>a<b>b<i>c</b>d</p><ul><li>e<li>f<ul><li>g</ul><li>h</ul>").blocks] == ["abcd", "e", "f", "g", "h"]
+
+
+def test_extraction_of_unseen_layouts(spark):
+    """Block F1 on generated layouts that the trees were not trained on."""
+    made = [html_extract.training_page(seed) for seed in range(50_000, 50_120)]
+    rows = spark.createDataFrame([(i, "u", source) for i, (source, _) in enumerate(made)], "page_id long, url string, html string")
+    right = wanted = given = 0
+    for r in html_extract.extract(rows).collect():
+        got = {block.split()[0] for block in r["text"].split("\n\n") if block}
+        main = made[r["page_id"]][1]
+        right, wanted, given = right + len(got & main), wanted + len(main), given + len(got)
+    assert 2 * right / (wanted + given) > 0.93, 2 * right / (wanted + given)
+
+
 def test_pages(spark):
     page = """<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/a">About</a></li></ul></nav>
     <article><h1>Title &amp; more</h1><p>First  paragraph with

@@ -74,6 +74,80 @@ def test_large_components_are_cut_into_blocks(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == roots(len(texts), links)
 
 
+@pytest.mark.parametrize(("length", "changed", "words", "percent"), [(52, 1, 3, 90), (45, 1, 5, 80), (200, 4, 3, 90), (400, 1, 3, 90)])
+def test_trees_of_one_template_do_not_grow_with_the_square(length, changed, words, percent):
+    def compared(n):
+        draw, hashes, sets = random.Random(5), shingle_join._Hashes(), []
+        for k in range(n):
+            text = [f"t{i}" for i in range(length)]
+            for c in range(changed):
+                text[draw.randrange(length)] = f"x{k}-{c}"
+            sets.append(shingle_join.shingles(" ".join(text).encode(), words, hashes))
+        counts = np.zeros(shingle_join.SKETCH, dtype=np.int64)
+        at = [(s & np.uint64(shingle_join.SKETCH - 1)).astype(np.int64) for s in sets]
+        for own in at:
+            np.add.at(counts, own, 1)
+        rows = np.concatenate([shingle_join.routes(s, k, counts[own], percent) for k, (s, own) in enumerate(zip(sets, at))], axis=1)
+        return shingle_join.Trees(rows, percent).compared
+
+    few, many = compared(2000), compared(8000)
+    assert many < 6 * few and many < 8000 * 2 * shingle_join.LEAF * len(shingle_join.routes(np.arange(length - words + 1, dtype=np.uint64), 0, np.ones(length - words + 1), percent)[0])
+
+
+def test_trees_find_every_pair_that_can_link(monkeypatch):
+    """Deep trees, and trees in parts, connect what brute force connects; heads of merged nodes stand for their members."""
+    draw, hashes = random.Random(9), shingle_join._Hashes()
+    base = [f"t{i}" for i in range(60)]
+    sets = {}
+    for k in range(400):
+        text = list(base)
+        for _ in range(draw.choice((0, 1, 1, 2, 3, 6))):
+            text[draw.randrange(60)] = f"x{draw.randrange(9)}"
+        own = shingle_join.shingles(" ".join(text[: 60 - draw.randrange(6)]).encode(), 3, hashes)
+        sets[own.tobytes()] = own
+    sets = list(sets.values())
+    counts = np.zeros(shingle_join.SKETCH, dtype=np.int64)
+    for own in sets:
+        np.add.at(counts, (own & np.uint64(shingle_join.SKETCH - 1)).astype(np.int64), 1)
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - c)]
+    assert len(links) > 500
+    monkeypatch.setattr(shingle_join, "LEAF", 4)
+    monkeypatch.setattr(shingle_join, "FAN", 3)
+    for tree_rows in (1 << 30, 50):
+        monkeypatch.setattr(shingle_join, "TREE_ROWS", tree_rows)
+        rows = np.concatenate([shingle_join.routes(s, k, counts[(s & np.uint64(shingle_join.SKETCH - 1)).astype(np.int64)], 85) for k, s in enumerate(sets)], axis=1)
+        parts = [shingle_join.Trees(rows[:, k::3], 85) for k in range(3)]
+        batches = [shingle_join._node_rows(shingle_join._node_batch(t.merged())) for t in parts]
+        top = shingle_join.Trees(np.concatenate(batches, axis=1), 85)
+        groups = roots(len(sets), np.concatenate([t.found() for t in (*parts, top)], axis=1).T.tolist())
+        assert all(groups[i] == groups[j] for i, j in links)
+
+
+def test_one_row_of_each_component_stays(spark):
+    same = "a b c d e f g"
+    rows = [(5, same, "x"), (5, same, "y"), (5, "q r s t u v w", "x"), (3, same, "x"), (7, "q r s t u v w", "x"), (8, None, "x"), (8, None, "x"), (9, "", "x"), (None, same, "x"), (None, same, "x")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, component_id int")
+    got = shingle_join.one_per_component(docs, ("doc_id", "text", "lang")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(3, same, "x"), (5, "q r s t u v w", "x"), (8, None, "x"), (9, "", "x"), (None, same, "x"), (None, same, "x")]))
+
+
+def test_hot_nodes_in_components(spark, monkeypatch):
+    from kinloom.llm import graph
+
+    monkeypatch.setattr(graph, "HOT_DEGREE", 3)
+    draw = random.Random(4)
+    links = [(500, k) for k in range(200)] + [(draw.randrange(200, 499), draw.randrange(200, 499)) for _ in range(150)] + [(7, 7)]
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    want = roots(501, links)
+    assert got == {k: want[k] for e in links if e[0] != e[1] for k in e}
+
+
+def test_vectors_of_any_size(spark):
+    rows = [[1e200, 2e200], [1.1e200, 2.1e200], [1e-200, 2e-200], [-1e-200, 2e-200], [5e-324, 1e-323]]
+    got = embedding_join.linked(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")).collect()
+    assert {r["vec_id"]: r["component_id"] for r in got} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 0}
+
+
 def test_odd_rows_of_the_shingle_join(spark):
     docs = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (5, "q r s t u v w")], "doc_id long, text string")
     rows = sorted(map(str, (tuple(r) for r in shingle_join.jaccard_components(docs).collect())))
