@@ -22,27 +22,40 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, unchanged."""
+    """Documents that the rules keep, unchanged.
+
+    A null or empty text has no words and goes; repeated rows are judged each; ties at the threshold stay; very long
+    texts are read whole; an empty table gives no rows; further columns are left out.
+    """
     judged = quality_rules.apply_rules(docs.select(*COLUMNS), read(spark, sf_dir, "labels"))
     return judged.where("kept").select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Rows that repeat an id are one document; rows without an id stay."""
-    groups = shingle_join.jaccard_components(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    known = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").select(*COLUMNS)
-    return known.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
+    """One document of each group of near copies: the one with the smallest id.
+
+    Null and empty texts are near nothing and stay; rows without an id stay; rows that agree in id and text are one
+    document; rows of one id with different texts are judged each by its own text; very long texts are read whole.
+    """
+    return shingle_join.one_per_component(docs, COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sanitised texts with their new lengths."""
+    """Sanitised texts with their new lengths.
+
+    A null text becomes an empty one; repeated rows stay repeated rows; very long texts are read whole; an empty table
+    gives no rows; further columns are left out.
+    """
     clean = pii.sanitise(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("bigint")).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that a document is taken; the last document of a source's budget is cut at the word that ends it."""
+    """A row for each time that a document is taken; the last document of a source's budget is cut at the word that ends it.
+
+    Null and empty texts have no words, so the mix takes none of them; a null source is a source of its own; repeated
+    rows are separate documents; equal keys are taken in order of the id; an empty table gives no rows.
+    """
     mixed = mixing.mix(docs, keep=("text", "lang", "n_chars")).where(F.col("taken") > 0)
     # Whole copies, then what is left of the taken words.
     whole = F.floor(F.col("taken") / F.col("size")).cast("int")
@@ -64,7 +77,7 @@ def _first_words(text, words):
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row; null texts are empty, long ones encoded in pieces."""
     import public_tokenizers
 
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
