@@ -19,6 +19,12 @@ def ensure_checkpoints(df: DataFrame) -> None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="kinloom-"))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, computed once and written to the checkpoint folder."""
+    ensure_checkpoints(df)
+    return df.checkpoint()
+
+
 def edge_holds(closeness: Column, proofs: Column) -> Column:
     """Whether a spelling edge is accepted: close enough, or nearly so with two proofs (fixed values)."""
     return (closeness >= 0.65) | ((closeness >= 0.60) & (proofs >= 2))

@@ -98,44 +98,44 @@ def truth_hits(spark, sf):
 
 @query("second_reading", """
 SELECT coalesce(d.doc_id, l.doc_id) AS id, d.lang AS first, CAST(l.quality AS VARCHAR) AS second, d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL AND (l.quality = 1) = (d.lang = 'en') AS equal
-FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN labels l ON d.doc_id = l.doc_id""")
+FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id""")
 def second_reading(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("a"), "lang")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("a"), "lang")
     l = table(spark, sf, "labels").select(F.col("doc_id").alias("b"), "quality")
     j = d.join(l, F.col("a") == F.col("b"), "full_outer")
     equal = F.col("a").isNotNull() & F.col("b").isNotNull() & ((F.col("quality") == 1) == (F.col("lang") == "en"))
     return j.select(F.coalesce("a", "b").alias("id"), F.col("lang").alias("first"), F.col("quality").cast("string").alias("second"), F.coalesce(equal, F.lit(False)).alias("equal"))
 
 
+#: Target: the first line of every order; source: every order. An order without lines is new, a finished one is guarded.
 @query("merge_guarded", """
-WITH t AS (SELECT o_orderkey, o_totalprice AS price, o_orderstatus AS status FROM orders WHERE o_orderkey % 3 <> 0),
-s AS (SELECT o_orderkey, o_totalprice + 1 AS price, 'N' AS status FROM orders WHERE o_orderkey % 2 = 0)
-SELECT coalesce(t.o_orderkey, s.o_orderkey) AS o_orderkey, CASE WHEN w THEN s.price ELSE t.price END AS price, CASE WHEN w THEN s.status ELSE t.status END AS status, w AS written
+WITH t AS (SELECT l_orderkey AS o_orderkey, sum(l_extendedprice) AS price, max(l_linestatus) AS status FROM lineitem GROUP BY 1),
+s AS (SELECT o_orderkey, o_totalprice AS price, o_orderstatus AS status FROM orders)
+SELECT coalesce(t.o_orderkey, s.o_orderkey) AS o_orderkey, round(CASE WHEN w THEN s.price ELSE t.price END, 2) AS price, CASE WHEN w THEN s.status ELSE t.status END AS status, w AS written
 FROM (SELECT t.o_orderkey AS tk, s.o_orderkey AS sk, s.o_orderkey IS NOT NULL AND (t.o_orderkey IS NULL OR t.status <> 'F') AS w FROM t FULL JOIN s ON t.o_orderkey = s.o_orderkey) k
 LEFT JOIN t ON t.o_orderkey = k.tk LEFT JOIN s ON s.o_orderkey = k.sk""")
 def merge_guarded(spark, sf):
-    o = table(spark, sf, "orders")
-    t = o.where("o_orderkey % 3 <> 0").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
-    s = o.where("o_orderkey % 2 = 0").select("o_orderkey", (F.col("o_totalprice") + 1).alias("price"), F.lit("N").alias("status"))
-    return M.guarded_merge(t, s, "o_orderkey", ["price", "status"], F.col("t.status") != "F")
+    t = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("price"), F.max("l_linestatus").alias("status"))
+    s = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    return M.guarded_merge(t, s, "o_orderkey", ["price", "status"], F.col("t.status") != "F").withColumn("price", F.round("price", 2))
 
 
 @query("merge_ignore", """
-SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders WHERE o_orderstatus = 'P') WHERE rn = 1 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0)""")
+SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders WHERE o_orderstatus <> 'F') WHERE rn = 1 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')""")
 def merge_ignore(spark, sf):
-    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
-    return M.insert_or_ignore(o.where("o_orderstatus = 'F' AND o_orderkey % 2 = 0"), o.where("o_orderstatus = 'P'").select("o_custkey", "o_orderkey"), ["o_custkey"], [F.col("o_orderkey")])
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    return M.insert_or_ignore(o.where("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"), o.where("o_orderstatus <> 'F'").select("o_custkey", "o_orderkey"), ["o_custkey"], [F.col("o_orderkey")])
 
 
 @query("find_or_create", """
-WITH known AS (SELECT c_custkey AS id, c_nationkey AS nation, c_mktsegment AS segment FROM customer WHERE c_custkey % 50 = 0),
+WITH known AS (SELECT s_suppkey AS id, s_nationkey AS nation, 'BUILDING' AS segment FROM supplier),
 have AS (SELECT nation, segment, min(id) AS id FROM known GROUP BY ALL),
 wanted AS (SELECT o_orderkey, c_nationkey AS nation, c_mktsegment AS segment FROM orders JOIN customer ON o_custkey = c_custkey),
 fresh AS (SELECT nation, segment, row_number() OVER (ORDER BY min(o_orderkey)) + (SELECT max(id) FROM known) AS id FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.nation = w.nation AND h.segment = w.segment) GROUP BY ALL)
 SELECT w.*, coalesce(h.id, f.id) AS id, h.id IS NULL AS created FROM wanted w LEFT JOIN have h USING (nation, segment) LEFT JOIN fresh f USING (nation, segment)""")
 def find_or_create(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
-    known = c.where("c_custkey % 50 = 0").withColumnRenamed("c_custkey", "id")
+    known = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), F.lit("BUILDING").alias("segment"))
     wanted = table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "nation", "segment")
     return M.find_or_create(wanted, known, ["nation", "segment"], "id", [F.col("o_orderkey")])
 
@@ -175,11 +175,13 @@ def densify(spark, sf):
     return grid.join(n, ["segment", "status"], "left").na.fill({"n": 0})
 
 
+#: Overrides: what the lines of a part say of it; a part without lines keeps its own values.
 @query("catalogue_overlay", """
-SELECT p_partkey, coalesce(o.size, p_size) AS size, coalesce(o.brand, p_brand) AS brand, o.p IS NOT NULL AS overridden FROM part LEFT JOIN (SELECT p_partkey AS p, CASE WHEN p_partkey % 2 = 0 THEN 99 END AS size, CASE WHEN p_partkey % 3 = 0 THEN 'own' END AS brand FROM part WHERE p_partkey % 5 = 0) o ON p = p_partkey""")
+SELECT p_partkey, coalesce(o.size, p_size) AS size, coalesce(o.brand, p_brand) AS brand, o.p IS NOT NULL AS overridden
+FROM part LEFT JOIN (SELECT l_partkey AS p, CASE WHEN max(l_quantity) >= 50 THEN max(l_linenumber) END AS size, CASE WHEN max(l_tax) < 0.08 THEN 'own' END AS brand FROM lineitem GROUP BY 1) o ON p = p_partkey""")
 def catalogue_overlay(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_size", "p_brand")
-    over = part.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("p"), F.when(F.col("p_partkey") % 2 == 0, 99).alias("size"), F.when(F.col("p_partkey") % 3 == 0, "own").alias("brand"))
+    over = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p")).agg(F.when(F.max("l_quantity") >= 50, F.max("l_linenumber")).alias("size"), F.when(F.max("l_tax") < 0.08, "own").alias("brand"))
     return part.join(over, F.col("p") == F.col("p_partkey"), "left").select("p_partkey", F.coalesce("size", "p_size").alias("size"), F.coalesce("brand", "p_brand").alias("brand"), F.col("p").isNotNull().alias("overridden"))
 
 

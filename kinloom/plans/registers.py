@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import windows as W
 from ..session import table
+from ..operators.numbering import numbered_rows
 from .registry import query
 
 
@@ -131,7 +132,7 @@ SELECT event_id, k, CAST(row_number() OVER (ORDER BY n, k, event_id) AS BIGINT)
 def num_sort(spark, sf):
     k = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.concat(F.col("user_id").cast("string"), F.col("event_type")))
     e = table(spark, sf, "events").where("event_type <> 'view'").select("event_id", k.alias("k"))
-    return e.withColumn("place", F.row_number().over(Window.orderBy(W.leading_int(F.col("k")), "k", "event_id")).cast("bigint"))
+    return numbered_rows(e, [W.leading_int(F.col("k")), F.col("k"), F.col("event_id")], "place")
 
 
 @query("cells", """
