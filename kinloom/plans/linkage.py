@@ -199,7 +199,13 @@ def _name_edges(spark, sf):
     return pairs.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b"))
 
 
-@query("bridges")
+@query("bridges", """
+WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem GROUP BY l_partkey, l_suppkey HAVING count(*) >= 4),
+n AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+c AS (SELECT DISTINCT a AS start, a AS goal FROM n UNION SELECT c.start, n.b FROM c JOIN n ON c.goal = n.a),
+k AS (SELECT start AS node, min(goal) AS class FROM c GROUP BY 1),
+r AS (SELECT a AS ea, b AS eb, a AS at FROM e UNION SELECT r.ea, r.eb, n.b FROM r JOIN n ON r.at = n.a WHERE NOT (n.a = r.ea AND n.b = r.eb) AND NOT (n.a = r.eb AND n.b = r.ea))
+SELECT k.class, e.a, e.b FROM e JOIN k ON k.node = e.a WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.ea = e.a AND r.eb = e.b AND r.at = e.b)""")
 def bridges(spark, sf):
     edges = _name_edges(spark, sf)
     return graph.bridges(edges, graph.classes(edges))
