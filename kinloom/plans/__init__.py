@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("registers", "names", "linkage")
+MODULES = ("registers", "names", "linkage", "parish")
 
 
 def load() -> None:
