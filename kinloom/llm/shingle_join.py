@@ -19,7 +19,8 @@ Documents are sets of hashed word shingles; two documents link when
 4. Connected components of the candidate edges confine all links.
 5. Inside a component the real sets are compared. Small components are packed together; large ones are cut into blocks by size and
    hash, each compared within itself and with a few pivots of the component. Only documents that are then
-   not yet connected with the largest part of their component are compared with the blocks of other documents of suitable size.
+   not yet connected with the largest part of their component meet the others of suitable size: first as marks of ``MARK``
+   counters, whose common part is at least the overlap, then, where a pair can still link, with their sets.
 
 Every step writes spanning edges, so no group is ever expanded into its pairs.
 
@@ -54,6 +55,8 @@ HELD, SEEN, WORD_HASHES = 100_000, 200_000, 200_000
 LEAF, FAN, PAIRS, TREE_ROWS = 32, 8, 64, 100_000
 #: Documents of a block, shingles of a block, pivots of a large component.
 BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS = 256, 400_000, 4
+#: Counters of a set's mark, documents whose marks meet in one group.
+MARK, MARK_DOCS = 1024, 2048
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -88,6 +91,19 @@ def shingles(text: bytes, words: int, hashes: _Hashes) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
+def mark(own: np.ndarray) -> bytes:
+    """Shingles of each of ``MARK`` classes, 255 at most; those beyond are the slack of :func:`overlap_bounds`."""
+    counts = np.bincount(((own >> np.uint64(20)) & np.uint64(MARK - 1)).astype(np.int64), minlength=MARK)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def overlap_bounds(one: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The largest overlap that a set of this mark and size can have with each of the others."""
+    common = np.minimum(others, one).sum(axis=1, dtype=np.int32)
+    slack = sizes - others.sum(axis=1, dtype=np.int32)
+    return common + np.minimum(slack, size - int(one.sum(dtype=np.int64)))
+
+
 def _digest(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
@@ -499,18 +515,21 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
-            keep, sets = [], []
-            for k, (text, digest) in enumerate(zip(_bytes(batch.column("text")), batch.column("want"))):
+            keep, sets, marks = [], [], []
+            for k, (text, digest, large) in enumerate(zip(_bytes(batch.column("text")), batch.column("want"), batch.column("large"))):
                 own = shingles(text, words, hashes)
                 if _digest(own) == digest.as_py():
                     keep.append(k)
                     sets.append(own.tobytes())
+                    marks.append(mark(own) if large.as_py() else None)
             rest = batch.take(pa.array(keep, pa.int64()))
             names = ["rep", "component", "band", "large", "block", "want"]
-            yield pa.RecordBatch.from_arrays([*[rest.column(c) for c in names], pa.array(sets, pa.binary())], names=[*names, "own"])
+            sizes = pa.array([len(x) // 8 for x in sets], pa.int64())
+            columns = [pa.array(sets, pa.binary()), pa.array(marks, pa.binary()), sizes]
+            yield pa.RecordBatch.from_arrays([*[rest.column(c) for c in names], *columns], names=[*names, "own", "mark", "size"])
 
     texts = docs.select("doc_id", text_of("text").cast("binary").alias("text"))
-    sets = texts.join(want, texts["doc_id"] == want["rep"]).select("rep", "component", "band", "large", "block", "want", "text").mapInArrow(as_sets, "rep bigint, component bigint, band int, large boolean, block int, want binary, own binary")
+    sets = texts.join(want, texts["doc_id"] == want["rep"]).select("rep", "component", "band", "large", "block", "want", "text").mapInArrow(as_sets, "rep bigint, component bigint, band int, large boolean, block int, want binary, own binary, mark binary, size bigint")
     sets = cut(sets.dropDuplicates(["rep", "want", "component", "band", "block"]).drop("want"))
 
     # Within components, or blocks of large ones with the pivots of the component.
@@ -558,18 +577,59 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int
     labelled = cut(in_large.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
     main = labelled.groupBy("component", "label").count().groupBy("component").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
     tagged = cut(labelled.join(main, "component").withColumn("minor", F.col("label") != F.col("main")))
-    left = cut(tagged.where("minor").groupBy("component", "band").agg(F.count("*").alias("m")).withColumn("n_left", F.ceil(F.col("m") / F.lit(BLOCK_DOCS)).cast("int")).drop("m"))
-    if left.isEmpty():
+    parts = cut(
+        tagged.groupBy("component", "band").agg(F.count("*").alias("all"), F.count_if("minor").alias("m"))
+        .select("component", "band", F.ceil(F.col("all") / F.lit(MARK_DOCS)).cast("int").alias("n_all"), F.ceil(F.col("m") / F.lit(MARK_DOCS)).cast("int").alias("n_left"))
+    )
+    if parts.where("n_left > 0").isEmpty():
         return first
-    minor_blocks = tagged.where("minor").join(left, ["component", "band"]).withColumn("i", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("n_left")).cast("int"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     pairs = cut(
-        left.select("component", F.col("band").alias("l_band"), F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)).alias("i"))
-        .join(homes, "component").where(F.abs(F.col("l_band") - F.col("to_band")) <= 1)
-        .withColumn("unit", F.xxhash64("component", "l_band", "i", "to_band", "to_block"))
+        parts.where("n_left > 0").select("component", F.col("band").alias("l_band"), numbers("n_left").alias("i"))
+        .join(parts.select("component", F.col("band").alias("r_band"), numbers("n_all").alias("j")), "component")
+        .where(F.abs(F.col("l_band") - F.col("r_band")) <= 1)
+        .withColumn("unit", F.xxhash64("component", "l_band", "i", "r_band", "j"))
+    )
+    marked = tagged.join(sets.where("large").select("rep", "component", "mark", "size"), ["rep", "component"]).join(parts, ["component", "band"])
+    columns = ["unit", "rep", "component", "band", "block", "label", "minor", "mark", "size"]
+    l_marks = (
+        marked.where("minor").withColumn("i", F.pmod(F.col("block"), F.col("n_left"))).withColumnRenamed("band", "l_band")
+        .join(pairs.select("component", "l_band", "i", "unit"), ["component", "l_band", "i"]).withColumnRenamed("l_band", "band")
+        .select(*columns, F.lit(0).alias("side"))
+    )
+    r_marks = (
+        marked.withColumn("j", F.pmod(F.col("block"), F.col("n_all"))).withColumnRenamed("band", "r_band")
+        .join(pairs.select("component", "r_band", "j", "unit"), ["component", "r_band", "j"]).withColumnRenamed("r_band", "band")
+        .select(*columns, F.lit(1).alias("side"))
+    )
+
+    def able(table: pa.Table) -> pa.Table:
+        """Rows of the pairs that can link by their marks, each under the two blocks that its pairs lie in."""
+        side = table.column("side").to_numpy()
+        rep, size, label, minor = (table.column(c).to_numpy() for c in ("rep", "size", "label", "minor"))
+        blocks = np.stack([table.column("band").to_numpy(), table.column("block").to_numpy()])
+        marks = np.stack([np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in table.column("mark")])
+        l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        rows: list[np.ndarray] = []
+        for x in l:
+            near = (100 * np.minimum(size[r], size[x]) >= percent * np.maximum(size[r], size[x])) & (label[r] != label[x])
+            y = r[near & (~minor[r] | (rep[r] > rep[x]))]  # two such documents also meet the other way round
+            if not len(y):
+                continue
+            y = y[(100 + percent) * overlap_bounds(marks[x], int(size[x]), marks[y], size[y]) >= percent * (size[x] + size[y])]
+            if len(y):
+                meet = np.concatenate([np.repeat(blocks[:, [x]], len(y), axis=1), blocks[:, y]])
+                rows += [np.concatenate([meet, np.full((1, len(y)), x)]), np.concatenate([meet, y[None]])]
+        every = np.unique(np.concatenate(rows, axis=1), axis=1) if rows else np.zeros((5, 0), dtype=np.int64)
+        at = every[4].astype(np.int64)
+        names = ["component", "l_band", "l_block", "r_band", "r_block", "rep", "label", "side"]
+        return pa.table([table.column("component").take(pa.array(at)), *[pa.array(k.astype(np.int32)) for k in every[:4]], pa.array(rep[at]), pa.array(label[at]), pa.array(side[at])], names=names)
+
+    able_rows = (
+        l_marks.unionByName(r_marks).groupBy("unit").applyInArrow(able, "component bigint, l_band int, l_block int, r_band int, r_block int, rep bigint, label bigint, side int")
+        .select(F.xxhash64("component", "l_band", "l_block", "r_band", "r_block").alias("unit"), "rep", "label", "side").distinct()
     )
-    l_rows = minor_blocks.select("rep", "component", F.col("band").alias("l_band"), "i", "label").join(pairs.select("component", "l_band", "i", "unit"), ["component", "l_band", "i"]).select("unit", "rep", "label", F.lit(0).alias("side"))
-    r_rows = tagged.select("rep", "component", F.col("band").alias("to_band"), F.col("block").alias("to_block"), "label").join(pairs.select("component", "to_band", "to_block", "unit"), ["component", "to_band", "to_block"]).select("unit", "rep", "label", F.lit(1).alias("side"))
-    placed_rows = l_rows.unionByName(r_rows).join(sets.where("large").select("rep", "own"), "rep")
+    placed_rows = able_rows.join(sets.where("large").select("rep", "own"), "rep")
 
     def across(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()

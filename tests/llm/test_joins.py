@@ -74,6 +74,43 @@ def test_large_components_are_cut_into_blocks(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == roots(len(texts), links)
 
 
+def test_marks_lose_no_link_of_a_large_component(spark, monkeypatch):
+    """Groups in one candidate component: links between blocks are found where no block or pivot shows them."""
+    monkeypatch.setattr(shingle_join, "BLOCK_DOCS", 6)
+    monkeypatch.setattr(shingle_join, "MARK_DOCS", 24)
+    draw, hashes, texts = random.Random(3), shingle_join._Hashes(), []
+    for _ in range(12):
+        base = [f"w{draw.randrange(5000)}" for _ in range(draw.choice((60, 75, 400)))]
+        for _ in range(12):
+            near = list(base)
+            for _ in range(draw.choice((0, 1, len(base) // 40))):
+                near[draw.randrange(len(base))] = f"y{draw.randrange(5000)}"
+            texts.append(" ".join(near))
+    texts = sorted(set(texts))
+    own = [shingle_join.shingles(t.encode(), 3, hashes) for t in texts]
+    sets = [plain_set(t, 3) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    members = spark.createDataFrame([(k, len(x), bytearray(shingle_join._digest(x)), 5) for k, x in enumerate(own)], "rep long, n long, h binary, component long")
+    found = [(r["u"], r["v"]) for r in shingle_join.verified_links(docs, members, 3, 90).collect()]
+    assert roots(len(texts), found) == roots(len(texts), links)
+    assert len(set(roots(len(texts), links))) >= 12
+
+
+def test_marks_bound_every_overlap():
+    draw = np.random.default_rng(4)
+    pool = draw.integers(0, 2**63, 400_000, dtype=np.uint64)
+    sets = [np.unique(draw.choice(pool, n)) for n in (1, 3, 50, 400, 5000)] + [np.unique(pool), np.unique(pool[:390_000]), np.zeros(0, dtype=np.uint64)]
+    marks = np.stack([np.frombuffer(shingle_join.mark(x), dtype=np.uint8) for x in sets])
+    sizes = np.array([len(x) for x in sets])
+    for k, x in enumerate(sets):
+        bounds = shingle_join.overlap_bounds(marks[k], len(x), marks, sizes)
+        assert all(b >= len(np.intersect1d(x, y)) for b, y in zip(bounds, sets))
+        assert bounds[k] == len(x)
+    far = np.unique(draw.integers(0, 2**63, 5000, dtype=np.uint64))
+    assert shingle_join.overlap_bounds(marks[4], len(sets[4]), np.frombuffer(shingle_join.mark(far), dtype=np.uint8)[None], np.array([len(far)]))[0] < 0.85 * len(far)
+
+
 @pytest.mark.parametrize(("length", "changed", "words", "percent"), [(52, 1, 3, 90), (45, 1, 5, 80), (200, 4, 3, 90), (400, 1, 3, 90)])
 def test_trees_of_one_template_do_not_grow_with_the_square(length, changed, words, percent):
     def compared(n):
