@@ -529,8 +529,10 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int
             yield pa.RecordBatch.from_arrays([*[rest.column(c) for c in names], *columns], names=[*names, "own", "mark", "size"])
 
     texts = docs.select("doc_id", text_of("text").cast("binary").alias("text"))
-    sets = texts.join(want, texts["doc_id"] == want["rep"]).select("rep", "component", "band", "large", "block", "want", "text").mapInArrow(as_sets, "rep bigint, component bigint, band int, large boolean, block int, want binary, own binary, mark binary, size bigint")
-    sets = cut(sets.dropDuplicates(["rep", "want", "component", "band", "block"]).drop("want"))
+    # Repeated rows go while the join has the rows of an id together, so the sets need no shuffle for that.
+    wanted = texts.join(want, texts["doc_id"] == want["rep"]).select("rep", "component", "band", "large", "block", "want", "text").distinct()
+    sets = wanted.mapInArrow(as_sets, "rep bigint, component bigint, band int, large boolean, block int, want binary, own binary, mark binary, size bigint")
+    sets = cut(sets.drop("want"))
 
     # Within components, or blocks of large ones with the pivots of the component.
     pivot = placed.where("large").groupBy("component").agg(F.slice(F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64("h"), F.lit(64)) == 0, F.col("rep")))), 1, PIVOTS).alias("p"), F.min("rep").alias("first"))
