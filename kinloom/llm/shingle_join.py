@@ -55,6 +55,8 @@ HELD, SEEN, WORD_HASHES = 100_000, 200_000, 200_000
 LEAF, FAN, PAIRS, TREE_ROWS = 32, 8, 64, 100_000
 #: Documents of a block, shingles of a block, pivots of a large component.
 BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS = 256, 400_000, 4
+#: Places of the bitmap of candidates' ids, a fixed 2 MB; an id that shares its place with a candidate only costs a shuffled text.
+PLACES = 1 << 24
 #: Counters of a set's mark, documents whose marks meet in one group.
 MARK, MARK_DOCS = 1024, 2048
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -489,6 +491,16 @@ def _edge_table(edges: list[tuple[int, int]]) -> pa.Table:
     return pa.table([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], schema=_EDGES)
 
 
+def _with_candidates(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose ``doc_id`` may be a ``rep`` of ``ids``, by a bitmap: most others are left out before any shuffle."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES)) + 1
+    bits = ids.select(place("rep").alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    at = F.bitmap_bit_position(place("doc_id"))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = (F.bitmap_bucket_number(place("doc_id")) == F.col("bucket")) & (F.getbit(byte, (at % 8).cast("int")) == 1)
+    return texts.join(F.broadcast(bits), hit, "left_semi")  # PLACES / 32768 rows of 4 KB at most
+
+
 def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
     """Spanning edges ``u, v`` between the representatives ``rep`` of classes.
 
@@ -530,6 +542,7 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int
 
     texts = docs.select("doc_id", text_of("text").cast("binary").alias("text"))
     # Repeated rows go while the join has the rows of an id together, so the sets need no shuffle for that.
+    texts = _with_candidates(texts, placed.select("rep"))
     wanted = texts.join(want, texts["doc_id"] == want["rep"]).select("rep", "component", "band", "large", "block", "want", "text").distinct()
     sets = wanted.mapInArrow(as_sets, "rep bigint, component bigint, band int, large boolean, block int, want binary, own binary, mark binary, size bigint")
     sets = cut(sets.drop("want"))

@@ -97,6 +97,15 @@ def test_marks_lose_no_link_of_a_large_component(spark, monkeypatch):
     assert len(set(roots(len(texts), links))) >= 12
 
 
+def test_bitmap_of_candidates_loses_no_text(spark):
+    texts = spark.range(0, 40_000, 1, 5).select((F.col("id") - 20_000).alias("doc_id"), F.lit("x").alias("text"))
+    ids = spark.range(0, 1000).select((F.col("id") * 17 - 3000).alias("rep")).unionByName(spark.createDataFrame([(-(2**63),), (2**63 - 1,)], "rep long"))
+    kept = shingle_join._with_candidates(texts.unionByName(texts.limit(0)), ids)
+    assert ids.where("rep BETWEEN -19999 AND 19999").join(kept, F.col("rep") == F.col("doc_id"), "left_anti").count() == 0
+    assert kept.count() < 1100
+    assert shingle_join._with_candidates(texts, ids.limit(0)).count() == 0
+
+
 def test_marks_bound_every_overlap():
     draw = np.random.default_rng(4)
     pool = draw.integers(0, 2**63, 400_000, dtype=np.uint64)
