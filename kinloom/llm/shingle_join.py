@@ -480,6 +480,21 @@ def forest(left_ids, right_ids, left, right, percent: int, label: dict) -> list[
     return out
 
 
+def hashed(batches: Iterator[pa.RecordBatch], words: int, names: list[str], field: str, made) -> Iterator[pa.RecordBatch]:
+    """``names``, ``made`` of the set as ``field`` and the set's ``size``; rows whose text has not the set ``want`` go."""
+    hashes = _Hashes()
+    for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+        keep, values, sizes = [], [], []
+        for k, (text, digest) in enumerate(zip(_bytes(batch.column("text")), batch.column("want"))):
+            own = shingles(text, words, hashes)
+            if _digest(own) == digest.as_py():
+                keep.append(k)
+                values.append(made(own))
+                sizes.append(len(own))
+        rest = batch.take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*[rest.column(c) for c in names], pa.array(values, pa.binary()), pa.array(sizes, pa.int64())], names=[*names, field, "size"])
+
+
 def _sets(table: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("own")]
 
@@ -491,13 +506,13 @@ def _edge_table(edges: list[tuple[int, int]]) -> pa.Table:
     return pa.table([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], schema=_EDGES)
 
 
-def _with_candidates(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``texts`` whose ``doc_id`` may be a ``rep`` of ``ids``, by a bitmap: most others are left out before any shuffle."""
+def _with_candidates(texts: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Rows of ``texts`` whose ``column`` may be a ``rep`` of ``ids``, by a bitmap: most others are left out before any shuffle."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES)) + 1
     bits = ids.select(place("rep").alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
-    at = F.bitmap_bit_position(place("doc_id"))
+    at = F.bitmap_bit_position(place(column))
     byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = (F.bitmap_bucket_number(place("doc_id")) == F.col("bucket")) & (F.getbit(byte, (at % 8).cast("int")) == 1)
+    hit = (F.bitmap_bucket_number(place(column)) == F.col("bucket")) & (F.getbit(byte, (at % 8).cast("int")) == 1)
     return texts.join(F.broadcast(bits), hit, "left_semi")  # PLACES / 32768 rows of 4 KB at most
 
 
@@ -522,46 +537,28 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int
         .withColumn("block", F.pmod(F.xxhash64("h"), F.col("n_blocks")).cast("int"))
         .select("rep", "h", "n", "component", "band", "large", "block")
     )
-    want = placed.select("rep", F.col("h").alias("want"), "component", "band", "large", "block")
-
-    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
-            keep, sets, marks = [], [], []
-            for k, (text, digest, large) in enumerate(zip(_bytes(batch.column("text")), batch.column("want"), batch.column("large"))):
-                own = shingles(text, words, hashes)
-                if _digest(own) == digest.as_py():
-                    keep.append(k)
-                    sets.append(own.tobytes())
-                    marks.append(mark(own) if large.as_py() else None)
-            rest = batch.take(pa.array(keep, pa.int64()))
-            names = ["rep", "component", "band", "large", "block", "want"]
-            sizes = pa.array([len(x) // 8 for x in sets], pa.int64())
-            columns = [pa.array(sets, pa.binary()), pa.array(marks, pa.binary()), sizes]
-            yield pa.RecordBatch.from_arrays([*[rest.column(c) for c in names], *columns], names=[*names, "own", "mark", "size"])
+    pivot = placed.where("large").groupBy("component").agg(F.slice(F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64("h"), F.lit(64)) == 0, F.col("rep")))), 1, PIVOTS).alias("p"), F.min("rep").alias("first"))
+    pivots = pivot.select("component", F.explode(F.array_union("p", F.array("first"))).alias("rep"), F.lit(True).alias("pivot"))
+    want = placed.join(pivots, ["component", "rep"], "left").select("rep", F.col("h").alias("want"), "component", "band", "large", "block", F.col("pivot").isNotNull().alias("pivot"))
 
     texts = docs.select("doc_id", text_of("text").cast("binary").alias("text"))
-    # Repeated rows go while the join has the rows of an id together, so the sets need no shuffle for that.
+    # Repeated rows go while the join has the rows of an id together. Texts travel instead of sets: they compress, hashes do not.
     texts = _with_candidates(texts, placed.select("rep"))
-    wanted = texts.join(want, texts["doc_id"] == want["rep"]).select("rep", "component", "band", "large", "block", "want", "text").distinct()
-    sets = wanted.mapInArrow(as_sets, "rep bigint, component bigint, band int, large boolean, block int, want binary, own binary, mark binary, size bigint")
-    sets = cut(sets.drop("want"))
+    wanted = cut(texts.join(want, texts["doc_id"] == want["rep"]).select("rep", "component", "band", "large", "block", "pivot", "want", "text").distinct())
 
     # Within components, or blocks of large ones with the pivots of the component.
-    pivot = placed.where("large").groupBy("component").agg(F.slice(F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64("h"), F.lit(64)) == 0, F.col("rep")))), 1, PIVOTS).alias("p"), F.min("rep").alias("first"))
-    pivots = cut(pivot.select("component", F.explode(F.array_union("p", F.array("first"))).alias("pivot")))
     homes = plan.where("large").select("component", F.col("band").alias("to_band"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("to_block"))
     pivot_rows = (
-        sets.where("large").join(pivots.withColumnRenamed("component", "pc"), (F.col("rep") == F.col("pivot")) & (F.col("component") == F.col("pc")))
-        .select("rep", "component", "own", "band", "block").join(homes, "component")
+        wanted.where("pivot").join(homes, "component")
         .where(~((F.col("band") == F.col("to_band")) & (F.col("block") == F.col("to_block"))) & (F.abs(F.col("band") - F.col("to_band")) <= 1))
-        .select(F.xxhash64("component", "to_band", "to_block").alias("unit"), "component", "rep", "own")
+        .select(F.xxhash64("component", "to_band", "to_block").alias("unit"), "component", "rep", "want", "text")
     )
     small_unit = F.pmod(F.xxhash64("component"), F.lit(1 << 20))  # small components share units by chance only
-    own_rows = sets.select(F.when(F.col("large"), F.xxhash64("component", "band", "block")).otherwise(small_unit).alias("unit"), "component", "rep", "own")
+    own_rows = wanted.select(F.when(F.col("large"), F.xxhash64("component", "band", "block")).otherwise(small_unit).alias("unit"), "component", "rep", "want", "text")
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        batches = hashed(batches, words, ["unit", "component", "rep"], "own", np.ndarray.tobytes)
 
         def settle(table: pa.Table) -> pa.RecordBatch:
             edges: list[tuple[int, int]] = []
@@ -605,7 +602,10 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int
         .where(F.abs(F.col("l_band") - F.col("r_band")) <= 1)
         .withColumn("unit", F.xxhash64("component", "l_band", "i", "r_band", "j"))
     )
-    marked = tagged.join(sets.where("large").select("rep", "component", "mark", "size"), ["rep", "component"]).join(parts, ["component", "band"])
+    marks = wanted.where("large").select("rep", "component", "want", "text").mapInArrow(
+        lambda batches: hashed(batches, words, ["rep", "component"], "mark", mark), "rep bigint, component bigint, mark binary, size bigint"
+    )
+    marked = tagged.join(cut(marks), ["rep", "component"]).join(parts, ["component", "band"])
     columns = ["unit", "rep", "component", "band", "block", "label", "minor", "mark", "size"]
     l_marks = (
         marked.where("minor").withColumn("i", F.pmod(F.col("block"), F.col("n_left"))).withColumnRenamed("band", "l_band")
@@ -640,11 +640,14 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int
         names = ["component", "l_band", "l_block", "r_band", "r_block", "rep", "label", "side"]
         return pa.table([table.column("component").take(pa.array(at)), *[pa.array(k.astype(np.int32)) for k in every[:4]], pa.array(rep[at]), pa.array(label[at]), pa.array(side[at])], names=names)
 
-    able_rows = (
+    able_rows = cut(
         l_marks.unionByName(r_marks).groupBy("unit").applyInArrow(able, "component bigint, l_band int, l_block int, r_band int, r_block int, rep bigint, label bigint, side int")
         .select(F.xxhash64("component", "l_band", "l_block", "r_band", "r_block").alias("unit"), "rep", "label", "side").distinct()
     )
-    placed_rows = able_rows.join(sets.where("large").select("rep", "own"), "rep")
+    sets = _with_candidates(wanted.where("large").select("rep", "want", "text"), able_rows, "rep").mapInArrow(
+        lambda batches: hashed(batches, words, ["rep"], "own", np.ndarray.tobytes), "rep bigint, own binary, size bigint"
+    )
+    placed_rows = able_rows.join(sets.select("rep", "own"), "rep")
 
     def across(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
