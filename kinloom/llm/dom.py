@@ -44,7 +44,7 @@ class Page:
         self.blocks: list[tuple[int, str]] = []
         self.link_chars: Counter = Counter()
         self._stack, self._open, self._hidden, self._run = [0], {}, 0, []
-        self._block, self._tag = [0], _TAG
+        self._block, self._tag, self._stray = [0], _TAG, 0
         self._read(source)
 
     def _flush(self) -> None:
@@ -59,11 +59,19 @@ class Page:
             return
         text = html.unescape(raw) if "&" in raw else raw
         if self._run or not text.isspace():
-            node = self._block[self._stack[-1]]
+            node = self._block[self._stack[-1]] or self._implied()
             self._run.append((node, text))
             if self._open.get("a"):
                 self.link_chars[node] += len(text.strip())
 
+    def _implied(self) -> int:
+        """The body that a page does not mark: all text outside any block element is in it."""
+        if not self._stray:
+            self._stray = len(self.tag)
+            for have, new in ((self.tag, "body"), (self.parent, 0), (self.tokens, frozenset()), (self.depth, 1), (self._block, self._stray)):
+                have.append(new)
+        return self._stray
+
     def _pop(self) -> None:
         node = self._stack.pop()
         tag = self.tag[node]

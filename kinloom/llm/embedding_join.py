@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import cut, read
 from .graph import components
 
-THRESHOLD, BLOCKS, GROUP_ROWS = 0.9, 4, 4096
+THRESHOLD, BLOCKS, GROUP_ROWS, BROADCAST_STRIPS = 0.9, 4, 4096, 100_000
 #: Room for the rounding of the rotated coordinates; the exact cosine decides.
 _SLACK = 1e-6
 
@@ -144,14 +144,15 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     classes = cut(classes)
     placed = cut(_strips(classes.select("cls", "dims", "weight", "embedding"), threshold, blocks))
     spread = placed.select("cls", "dims", "weight", "embedding", F.posexplode("strips").alias("block", "strip"))
-    # A strip is as wide as the radius, so each block has a handful of strips: this table has a fixed size.
+    # A strip is as wide as the radius, so each block of each length of vectors has a handful of strips.
     sizes = spread.groupBy("dims", "block", "strip").count().withColumn("n_groups", F.ceil(F.col("count") / F.lit(group_rows)).cast("int")).select("dims", "block", "strip", "n_groups")
     sizes = cut(sizes)
+    small = F.broadcast if sizes.count() <= BROADCAST_STRIPS else (lambda strips: strips)  # vectors of very many lengths
     following = sizes.select("dims", "block", (F.col("strip") - 1).alias("strip"), F.col("n_groups").alias("n_after"))
     before = sizes.select("dims", "block", (F.col("strip") + 1).alias("strip"), F.col("n_groups").alias("n_before"))
     at = ["dims", "block", "strip"]
     grouped = (
-        spread.join(F.broadcast(sizes), at).join(F.broadcast(following), at, "left").join(F.broadcast(before), at, "left")
+        spread.join(small(sizes), at).join(small(following), at, "left").join(small(before), at, "left")
         .withColumn("g", F.pmod(F.xxhash64("cls", "block"), F.col("n_groups")).cast("int"))
     )
     own = F.transform(F.sequence(F.lit(0), F.col("n_groups") - 1), lambda o: F.struct(F.col("strip").alias("strip"), F.least("g", o).alias("a"), F.greatest("g", o).alias("b"), F.lit(0).alias("next"), (F.col("g") > o).cast("int").alias("side")))

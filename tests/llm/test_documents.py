@@ -148,6 +148,18 @@ def test_pages(spark):
     assert html_extract.extract(rows.where(F.lit(False))).count() == 0
 
 
+def test_text_outside_any_block_element_is_read(spark):
+    """A page need not mark its body: the words are found as they are inside one."""
+    line = "a full sentence of the article, which goes on for some time, and then ends here as sentences do."
+    pages = [f"Just plain text with {line}", f"<b>Bold main text</b> and more prose, with {line}", f"<p>First, {line}</p>after it, {line}", f"{line}<script>x()</script> <i>{line}</i>"]
+    bodies = [f"<body>{p}</body>" for p in pages]
+    rows = spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages + bodies)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(rows).collect()}
+    for i in range(len(pages)):
+        assert got[i] == got[i + len(pages)] and got[i].count("article") == pages[i].count("article"), pages[i]
+    assert got[1].startswith("Bold main text and more prose")
+
+
 def plain_url(url):
     if url is None or "://" not in url:
         return "", "", None, None
@@ -196,3 +208,83 @@ def test_pipeline_stages_keep_their_contract(spark):
             assert out.columns == list(corpus_pipeline.COLUMNS), name
             docs = out
     assert out.count() > 100
+
+
+def odd_documents(spark):
+    """Null and empty texts, repeated rows, a null id and source, ties, a text longer than others by far, and a column too many."""
+    draw = __import__("random").Random(6)
+    say = lambda n: " ".join("".join(draw.choice("abdeghilmnorst") for _ in range(draw.randint(2, 8))) for _ in range(n))
+    base = [say(80) for _ in range(12)]
+    texts = [None, "", " \n", *base, base[0], base[0] + " end", base[1].replace(" ", "\n", 3), f"mail me@example.org or 10.1.2.3 {say(60)}", say(30_000), "w " * 90, f"\u00e9t\u00e9 \U0001f600 {say(70)}"]
+    rows = [(i, t, "en", ("a", "b", None)[i % 3], len(t or ""), 1) for i, t in enumerate(texts)]
+    rows += [rows[4], rows[4], (None, base[2], None, None, None, 1), (5, say(70), "de", "a", 7, 1)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept int"), rows
+
+
+def test_each_stage_returns_what_its_operator_decides(spark):
+    """Every stage reads the same odd table; its rows are compared with a loop."""
+    import base64
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+
+    import corpus_pipeline
+    from kinloom.llm import pii, shingle_join
+
+    docs, rows = odd_documents(spark)
+    docs = docs.repartition(3).cache()
+    stages = dict(corpus_pipeline.STAGES)
+    whole = lambda out: sorted(map(str, map(tuple, out.collect())))
+    plain = lambda picked: sorted(str(r[:5]) for r in picked)
+    # Quality: the rows of the texts that the rules keep, unchanged.
+    judged = {r["text"]: r["kept"] for r in quality_rules.apply_rules(docs.select("doc_id", "text"), spark.read.parquet(f"{SF_DIR}/labels.parquet")).collect()}
+    assert not any(judged[t] for t in (None, "", " \n", "w " * 90)) and sum(judged.values()) >= 10
+    assert whole(stages["quality_rules"](spark, docs, SF_DIR)) == plain([r for r in rows if judged[r[1]]])
+    # Near duplicates: five words, 0.8; the smallest id of a group stays.
+    def shingles(t):
+        words = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+    sets = [shingles(r[1]) for r in rows]
+    near = lambda i, j: bool(sets[i]) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    stay, seen = [], set()
+    for i in sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0)):
+        if rows[i][0] is None or rows[i][:2] not in seen and not any(near(i, j) for j in stay if rows[j][0] is not None):
+            stay.append(i)
+            seen.add(rows[i][:2])
+    assert len(stay) < len(rows) - 4
+    assert whole(stages["near_duplicates"](spark, docs, SF_DIR)) == plain([rows[i] for i in stay])
+    # Personal data: base spans by their kind.
+    def clean(t):
+        t, out, at = t or "", [], 0
+        for start, kind, end in sorted(pii.base_spans(t)):
+            out += [t[at:start], f"[{pii.KINDS[kind].upper()}]"]
+            at = end
+        return "".join([*out, t[at:]])
+
+    cleaned = [(r[0], clean(r[1]), r[2], r[3], len(clean(r[1]))) for r in rows]
+    assert sum("[EMAIL]" in r[1] and "[IP]" in r[1] for r in cleaned) == 1
+    assert whole(stages["pii"](spark, docs, SF_DIR)) == plain(cleaned)
+    # Mixing: as many whole copies as taken words allow, then the first of the rest.
+    mixed = [(r["doc_id"], r["text"], r["lang"], r["source"], r["size"], r["taken"]) for r in mixing.mix(docs.drop("kept"), keep=("text", "lang")).collect()]
+    want = []
+    for doc_id, text, lang, source, size, taken in mixed:
+        while taken > 0:
+            ends = [m.end() for m in WORD.finditer(text)]
+            part = text if taken >= size else text[: ends[taken - 1]]
+            want.append((doc_id, part, lang, source, len(part)))
+            taken -= size
+    got = stages["mixing"](spark, docs, SF_DIR)
+    assert whole(got) == plain(want) and any(len(t) < len(r[1] or "") for r in rows for i, t, *_ in want if i == r[0])
+    # Tokens: as the public library encodes them.
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    encoded = []
+    for r in rows:
+        ids = library.encode_ordinary(r[1] or "")
+        encoded.append(str((r[0], len(ids), digest(",".join(map(str, ids)).encode()), digest((r[1] or "").encode()))))
+    assert whole(stages["bpe"](spark, docs, SF_DIR)) == sorted(encoded)
+    for name, stage in stages.items():
+        assert stage(spark, docs.where(F.lit(False)), SF_DIR).count() == 0, name

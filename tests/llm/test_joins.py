@@ -201,7 +201,7 @@ def test_odd_rows_of_the_shingle_join(spark):
     assert shingle_join.jaccard_components(docs.where(F.lit(False))).count() == 0
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
     draw = np.random.default_rng(3)
     centers = draw.standard_normal((20, 16))
     rows = [(centers[i % 20] + 0.25 * draw.standard_normal(16)).tolist() for i in range(200)]
@@ -218,7 +218,8 @@ def test_vectors(spark):
         count[i] += 1
         count[j] += 1
     assert len(links) > 200
-    for group in (16, 4096):
+    for group, broadcast in ((16, 100_000), (4096, 100_000), (16, 2)):
+        monkeypatch.setattr(embedding_join, "BROADCAST_STRIPS", broadcast)
         got = {r["vec_id"]: r for r in embedding_join.linked(frame, group_rows=group).collect()}
         assert [got[i]["n_links"] for i in range(len(rows))] == count
         assert [got[i]["component_id"] for i in range(len(rows))] == roots(len(rows), links)
