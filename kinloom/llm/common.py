@@ -45,3 +45,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def text_of(column: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send whole texts to Python in batches of ``rows``, where the session leaves Spark's default of 10,000.
+
+    Ten thousand texts are some 30 MB in each of the buffers between an executor and its Python workers.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
