@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.llm import bpe, mixing, pii, quality_rules, shingle_join
-from kinloom.llm.common import checkpoint_dir, read
+from kinloom.llm.common import checkpoint_dir, read, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -37,6 +37,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null and empty texts are near nothing and stay; rows without an id stay; rows that agree in id and text are one
     document; rows of one id with different texts are judged each by its own text; very long texts are read whole.
     """
+    small_batches(spark)
     return shingle_join.one_per_component(docs, COLUMNS)
 
 
@@ -46,6 +47,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text becomes an empty one; repeated rows stay repeated rows; very long texts are read whole; an empty table
     gives no rows; further columns are left out.
     """
+    small_batches(spark)
     clean = pii.sanitise(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("bigint")).select(*COLUMNS)
 
@@ -80,6 +82,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row; null texts are empty, long ones encoded in pieces."""
     import public_tokenizers
 
+    small_batches(spark)
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
