@@ -137,12 +137,16 @@ def parents_anchor(entries: DataFrame, persons: DataFrame, families: DataFrame,
     return rows.select("entry", "n", single("family"), single("husband"), single("wife"), colour(None).alias("verdict"), colour(f).alias("father_verdict"), colour(m).alias("mother_verdict"), ((n == 1) & F.coalesce(green, F.lit(False))).alias("linked"), reason.alias("reason"))
 
 
-def _dated_candidates(entries: DataFrame, births: DataFrame) -> DataFrame:
-    """``entry, person, exact, places``: persons with a birth within ``DAYS`` of an exact date, or in the same year."""
-    e = entries.where(F.col("birth").isNotNull()).select("entry", "birth", "exact", D.ordinal(F.col("birth")).alias("e_day"), F.col("birth")["y"].alias("_year"))
-    b = births.where(F.col("date").isNotNull()).select("person", F.col("place").alias("b_place"), D.ordinal(F.col("date")).alias("b_day"), F.col("date")["y"].alias("_year"))
-    near = date_band(e.where(F.col("exact") & F.col("e_day").isNotNull()), b.where(F.col("b_day").isNotNull()).drop("_year"), "e_day", "b_day", DAYS).select("entry", "person", F.lit(True).alias("exact"), "b_place")
-    same = e.join(b, "_year").select("entry", "person", F.lit(False).alias("exact"), "b_place")
+def _dated_candidates(entries: DataFrame, births: DataFrame, persons: DataFrame) -> DataFrame:
+    """``entry, person, exact_date, b_place``: persons with a birth within ``DAYS`` of an exact date, or in the same year.
+
+    A candidate must share a given name, so entries and births meet by a name (and the day or the year), not by the year alone. ``persons``: person, p_given.
+    """
+    named = persons.select("person", F.explode("p_given").alias("_token"))
+    e = entries.where(F.col("birth").isNotNull()).select("entry", "birth", "exact", D.ordinal(F.col("birth")).alias("e_day"), F.col("birth")["y"].alias("_year"), F.explode("_name").alias("_token"))
+    b = births.where(F.col("date").isNotNull()).join(named, "person").select("person", "_token", F.col("place").alias("b_place"), D.ordinal(F.col("date")).alias("b_day"), F.col("date")["y"].alias("_year"))
+    near = date_band(e.where(F.col("exact") & F.col("e_day").isNotNull()).drop("_year"), b.where(F.col("b_day").isNotNull()).drop("_year"), "e_day", "b_day", DAYS, ["_token"]).select("entry", "person", F.lit(True).alias("exact"), "b_place")
+    same = e.join(b, ["_year", "_token"]).select("entry", "person", F.lit(False).alias("exact"), "b_place")
     # The day counts before the year; among equals the first place in order.
     best = F.max_by("b_place", F.struct(F.col("exact"), F.col("b_place").isNotNull(), F.col("b_place")))
     return near.unionByName(same).groupBy("entry", "person").agg(F.bool_or("exact").alias("exact_date"), best.alias("b_place"))
@@ -159,7 +163,7 @@ def role_anchor(entries: DataFrame, persons: DataFrame, births: DataFrame, famil
     tokens = T.name_tokens
     e = entries.withColumn("_name", tokens(F.col("name"))).where(F.size("_name") > 0)
     p = persons.select("person", F.col("sex").alias("p_sex"), "source", T.fold(F.coalesce("surn", F.lit(""))).alias("p_surn"), tokens(F.col("givn")).alias("p_given"))
-    dated = _dated_candidates(e, births)
+    dated = _dated_candidates(e, births, p)
     c = e.join(dated, "entry").join(p, "person")
     shares = lambda a, b: F.coalesce(F.size(F.array_intersect(a, b)) > 0, F.lit(False))
     no_sex = F.coalesce((F.col("sex") != F.col("p_sex")) & (F.col("sex") != "") & (F.col("p_sex") != ""), F.lit(False))

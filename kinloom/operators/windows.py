@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
 
 def chronology(df: DataFrame, key: list[str], order: list[Column], value: str) -> DataFrame:
     """Add the value before and after each row of its group: ``before``, ``after``."""
@@ -63,10 +65,23 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
     return held.where("_side = 1").select(*names, F.col("as_of._rt").alias("as_of_time"), F.col("as_of._rv").alias("as_of_value"))
 
 
-def upper_median(values: Column) -> Column:
-    """The upper one of the two middle values."""
-    a = F.array_sort(F.collect_list(values))
-    return F.get(a, F.floor(F.size(a) / 2).cast("int"))
+def middles(df: DataFrame, key: str, value: str) -> DataFrame:
+    """``key, n, lower, upper``: the two middle values of each key (the same one for an odd number); nulls do not count.
+
+    Exact ranks without a list of a key's values: equal values are counted together, the counts are dealt into ranges of key
+    and value, sums per key and range tell the range of a middle, and only that range is summed value by value. A key may so hold all rows.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(value).alias("_value")).agg(F.count("*").alias("_c"))
+    dealt = checkpointed(counts.repartitionByRange("_key", "_value").withColumn("_range", F.spark_partition_id()))
+    up = Window.partitionBy("_key").orderBy("_range")  # a row for each range that the key is in
+    sums = dealt.groupBy("_key", "_range").agg(F.sum("_c").alias("_rows")).withColumn("_before", F.sum("_rows").over(up) - F.col("_rows")).withColumn("n", F.sum("_rows").over(Window.partitionBy("_key")))
+    wanted = F.explode(F.array(F.floor((F.col("n") - 1) / 2) + 1, F.floor(F.col("n") / 2) + 1))
+    place = sums.withColumn("_want", wanted).where((F.col("_before") < F.col("_want")) & (F.col("_want") <= F.col("_before") + F.col("_rows"))).distinct()
+    place = place.select(F.col("_key").alias("_k"), F.col("_range").alias("_r"), "_before", "_want", "n")
+    inside = Window.partitionBy("_range", "_key", "_want").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    near = dealt.join(place, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_range") == F.col("_r"))).withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
+    found = near.where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_c") < F.col("_want")))
+    return found.groupBy("_key").agg(F.first("n").alias("n"), F.min("_value").alias("lower"), F.max("_value").alias("upper")).withColumnRenamed("_key", key)
 
 
 def rmse(a: Column, b: Column) -> Column:

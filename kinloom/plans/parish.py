@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import anchors
+from ..operators import handover as H
 from ..session import table
 from .registry import query
 
@@ -84,3 +85,32 @@ def parents_anchor(spark, sf):
 def parents_anchor_tally(spark, sf):
     """How often each verdict is given, and why."""
     return parents_anchor(spark, sf).groupBy("verdict", "reason").agg(F.count("*").alias("n"))
+
+
+def handover_tables(spark, sf):
+    """(said, persons, families): a baptism for every order, in the order of the keys; a person for every customer, a couple for every one of them with a balance.
+
+    Urgent entries are linked with persons of the stock. Mothers of finished orders have only a given name and inherit the father's surname.
+    """
+    k, o = F.col("c_custkey"), F.col("o_custkey")
+    text = lambda word, n: F.concat(F.lit(word), n.cast("string"))
+    full = lambda n: F.concat_ws(" ", text("Given", n % 97), text("Family", n % 499))
+    c = table(spark, sf, "customer")
+    persons = c.select(k.alias("person"), full(k).alias("name"))
+    families = c.where("c_acctbal > 0").join(c.select((k - 1).alias("_n")), k == F.col("_n"), "left_semi").select(k.alias("family"), k.alias("husband"), (k + 1).alias("wife"), (F.col("c_mktsegment") == "BUILDING").alias("own"))
+    known = table(spark, sf, "orders").join(c.select(k), k == o + 1, "left").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", k.isNotNull().alias("both"))
+    linked = (F.col("o_orderpriority") == "1-URGENT") & F.col("both")
+    status = F.col("o_orderstatus")
+    mother = F.when(status == "F", F.lit("Anna")).when(status == "O", F.concat(F.lit("Anna "), text("Family", o % 499))).otherwise(full(o + 1))
+    none = F.lit(None).cast("string")
+    role = lambda name, value, sex, person: F.struct(F.lit(name).alias("role"), value.alias("value"), none.alias("given"), sex.alias("sex"), person.cast("bigint").alias("person"))
+    roles = F.array(role("father", full(o), none, F.when(linked, o)), role("mother", mother, none, F.when(linked, o + 1)), role("child", text("Child", F.col("o_orderkey") % 31), F.lit("Knabe"), F.lit(None)))
+    said = known.select(F.col("o_orderkey").alias("entry"), F.col("o_orderkey").alias("ord"), F.explode(roles).alias("r")).select("entry", "ord", "r.*")
+    return said, persons, families
+
+
+@query("handover")
+def handover(spark, sf):
+    """The couple of each entry and how it came; each hangs on those before it, so it is tested against a loop."""
+    couples = H.handover(*handover_tables(spark, sf)[:1], H.BAPTISM, *handover_tables(spark, sf)[1:])[1]
+    return couples.select("entry", "family", "state", "husband", "wife")

@@ -109,7 +109,7 @@ m AS (SELECT label, list_sort(list(distance))[len(list(distance)) // 2 + 1] AS m
 SELECT r.label, vec_id, round(distance, 5) AS distance FROM r JOIN m ON r.label = m.label WHERE n >= 3 AND distance < least(0.85 * middle, 60)""")
 def page_suspects(spark, sf):
     r = _distances(spark, sf)
-    m = r.groupBy("label").agg(W.upper_median(F.col("distance")).alias("middle"), F.count("*").alias("n"))
+    m = W.middles(r, "label", "distance").withColumnRenamed("upper", "middle")
     return r.join(m, "label").where((F.col("n") >= 3) & (F.col("distance") < F.least(F.lit(0.85) * F.col("middle"), F.lit(60.0)))).select("label", "vec_id", F.round("distance", 5).alias("distance"))
 
 
@@ -213,10 +213,10 @@ def access_top(spark, sf):
 SELECT p_brand, list_sort(list(p_retailprice))[count(*) // 2 + 1] AS upper, round(median(p_retailprice), 4) AS middle, min(p_retailprice) AS least, max(p_retailprice) AS most,
        count(*) FILTER (p_size < 15) AS small FROM part GROUP BY 1""")
 def upper_median(spark, sf):
-    return table(spark, sf, "part").groupBy("p_brand").agg(
-        W.upper_median(F.col("p_retailprice")).alias("upper"), F.round(F.median("p_retailprice"), 4).alias("middle"), F.min("p_retailprice").alias("least"), F.max("p_retailprice").alias("most"),
-        F.count_if(F.col("p_size") < 15).alias("small"),
-    )
+    parts = table(spark, sf, "part")
+    plain = parts.groupBy("p_brand").agg(F.min("p_retailprice").alias("least"), F.max("p_retailprice").alias("most"), F.count_if(F.col("p_size") < 15).alias("small"))
+    middle = F.round((F.col("lower") + F.col("upper")) / 2, 4).alias("middle")
+    return plain.join(W.middles(parts, "p_brand", "p_retailprice"), "p_brand").select("p_brand", "upper", middle, "least", "most", "small")
 
 
 @query("number_gaps", """

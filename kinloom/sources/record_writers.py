@@ -155,7 +155,7 @@ def file_properties(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("source"), "content")
     bom = F.hex(F.substring("content", 1, 3)) == "EFBBBF"
     ends = F.length("content")
-    return files.select("source", bom.alias("bom"), F.when(F.instr(F.hex("content"), "0D0A") > 0, "crlf").otherwise("lf").alias("eol"), (F.hex(F.substring(F.col("content"), ends, F.lit(1))) == "0A").alias("final_newline"), "content")
+    return files.select("source", bom.alias("bom"), F.when(F.contains("content", F.lit(b"\r\n")), "crlf").otherwise("lf").alias("eol"), (F.hex(F.substring(F.col("content"), ends, F.lit(1))) == "0A").alias("final_newline"), "content")
 
 
 def file_bytes(records: DataFrame, properties: DataFrame) -> DataFrame:
@@ -195,16 +195,16 @@ def dead_pointers(records: DataFrame) -> DataFrame:
 def excerpt(records: DataFrame, wanted: DataFrame) -> DataFrame:
     """``seq, xref, typ, raw`` of the records around the ``wanted`` persons (``xref``).
 
-    Kept are these persons, the families in which they are spouse or child, the spouses of those families, and what kept records point
+    Kept are these persons, the families in which they are a spouse, the spouses of those families, and what kept records point
     at through two further steps (places, sources, notes, media, repositories, submitters), the head and the trailer. A line that points at a record that is not kept
     is cut with the lines below it.
     """
     lines = records.where(F.col("xref").isNotNull()).select("xref", "typ", F.explode(F.split("raw", "\n")).alias("line"))
     links = lines.select("xref", "typ", F.regexp_extract("line", r"^\s*\d+ (\S+) @[^@]+@\s*$", 1).alias("tag"), F.regexp_extract("line", r"^\s*\d+ \S+ (@[^@]+@)\s*$", 1).alias("target")).where(F.col("target") != "")
     start = wanted.select("xref").distinct()
-    of_families = links.where((F.col("typ") == "FAM") & F.col("tag").isin("HUSB", "WIFE", "CHIL"))
+    of_families = links.where((F.col("typ") == "FAM") & F.col("tag").isin("HUSB", "WIFE"))
     families = of_families.join(start.select(F.col("xref").alias("target")), "target", "left_semi").select("xref").distinct()
-    spouses = of_families.where(F.col("tag").isin("HUSB", "WIFE")).join(families, "xref", "left_semi").select(F.col("target").alias("xref"))
+    spouses = of_families.join(families, "xref", "left_semi").select(F.col("target").alias("xref"))
     kept = start.unionByName(families).unionByName(spouses).distinct()
     others = records.where(F.col("typ").isin(*REFERENCED)).select("xref")
     for _ in range(2):  # a source points at its repository, a place at a place above it

@@ -88,3 +88,19 @@ def test_birth_from_age(spark):
     got = [r[0] for r in df.select(D.birth_from_age(D.parse_date(F.col("ref")), F.col("age"))).collect()]
     day = datetime.date(1755, 2, 28) - datetime.timedelta(10)
     assert [x and ((x["date"]["y"], x["date"]["m"], x["date"]["d"]), x["exact"]) for x in got] == [((day.year, day.month, day.day), True), ((1743, 3, 28), False), ((1743, None, None), False), None, ((1800, 1, 2), True)]
+
+
+def test_middles_equal_sorted_lists(spark):
+    import random
+
+    from kinloom.operators import windows
+
+    draw = random.Random(5)
+    rows = [(draw.choice(("a", "a", "a", "b", None)), draw.choice((None, 1.5, 2.0, draw.random()))) for _ in range(500)] + [("one", 3.0), ("two", 1.0), ("two", 4.0), ("none", None)]
+    got = {r["k"]: (r["n"], r["lower"], r["upper"]) for r in windows.middles(spark.createDataFrame(rows, "k string, v double").repartition(5), "k", "v").collect()}
+    want = {}
+    for k in {k for k, _ in rows}:
+        values = sorted(v for x, v in rows if x == k and v is not None)
+        if values:
+            want[k] = (len(values), values[(len(values) - 1) // 2], values[len(values) // 2])
+    assert got == want

@@ -84,6 +84,20 @@ def test_unchanged_files_are_identical(spark, tmp_path, mark, eol, last):
     assert [(x["identical"], x["first_difference"]) for x in r] == [(True, None)]
 
 
+def test_half_bytes_are_no_line_end(spark, tmp_path):
+    """A blank before a letter of the bytes D0 A3 reads 20D0A3 in hexadecimal digits."""
+    (tmp_path / "a.txt").write_bytes("0 HEAD\n1 NOTE \u0423\n0 TRLR\n".encode())
+    assert [r["eol"] for r in W.file_properties(spark, str(tmp_path)).collect()] == ["lf"]
+    assert [(r["identical"], r["first_difference"]) for r in W.unchanged(spark, str(tmp_path)).collect()] == [(True, None)]
+
+
+def test_excerpt_leaves_the_parents_out(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("0 HEAD\n0 @I1@ INDI\n1 FAMC @F1@\n0 @I2@ INDI\n1 FAMS @F1@\n0 @F1@ FAM\n1 HUSB @I2@\n1 CHIL @I1@\n0 TRLR\n")
+    records = read_records(spark, str(tmp_path))
+    got = {r["xref"] or r["typ"]: r["raw"] for r in W.excerpt(records, spark.createDataFrame([("@I1@",)], "xref string")).collect()}
+    assert got == {"HEAD": "0 HEAD", "@I1@": "0 @I1@ INDI", "TRLR": "0 TRLR"}
+
+
 def test_first_difference(spark, tmp_path):
     mixed = TEMPLATE.replace("\n", "\r\n", 3).encode()  # both line ends in one file cannot be kept
     (tmp_path / "a.txt").write_bytes(mixed)
