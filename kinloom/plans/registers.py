@@ -283,3 +283,19 @@ SELECT word, CAST(sum(n) AS BIGINT) AS n, count(*) AS files FROM a GROUP BY word
 def vocab_upsert(spark, sf):
     words = table(spark, sf, "documents").select((F.col("doc_id") % 2).alias("half"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
     return words.groupBy("half", "word").count().groupBy("word").agg(F.sum("count").alias("n"), F.count("*").alias("files"))
+
+
+def header_pages(spark, sf):
+    """A page for every document of a source: its header has the language, then what its length tells; short texts cannot be read."""
+    long = F.when(F.col("n_chars") > 1500, F.lit("Long"))
+    longer = F.when(F.col("n_chars") > 3000, F.lit("Longer."))
+    header = F.when(F.col("n_chars") >= 100, F.array_compact(F.array("lang", long, longer)))
+    return table(spark, sf, "documents").select(F.col("source").alias("register"), F.col("doc_id").alias("page"), header.alias("columns"))
+
+
+@query("header_periods")
+def header_periods(spark, sf):
+    """Each period hangs on the richest header so far, so it is tested against a fold."""
+    from ..operators.periods import form_periods
+
+    return form_periods(header_pages(spark, sf), "register", "page", "columns")
