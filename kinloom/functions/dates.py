@@ -48,7 +48,8 @@ def date_struct(y: Column, m: Column, d: Column) -> Column:
 
 def year_in(c: Column) -> Column:
     """First year from 1500 to 2099 that stands alone."""
-    return _part(c, r"\b(1[5-9]\d\d|20\d\d)\b", 1)
+    years = F.transform(F.regexp_extract_all(c, F.lit(r"\w+"), F.lit(0)), lambda w: _number(w, 4, 4))
+    return F.get(F.filter(years, lambda y: y.between(1500, 2099)), F.lit(0))
 
 
 def _tokens(c: Column) -> Column:
@@ -83,7 +84,7 @@ def parse_date(c: Column) -> Column:
         by_number = F.when(dotted & dot_month.between(1, 12) & _number(at(t, 0), 1, 2).isNotNull() & _number(at(t, 4), 4, 4).isNotNull(), date_struct(_number(at(t, 4), 4, 4), dot_month, _number(at(t, 0), 1, 2)))
 
         def by_word(bare: Column) -> Column:
-            month = F.coalesce(F.when(~s.contains("."), _lookup(F.upper(at(bare, 1)), short)), F.when(F.length(at(bare, 1)).between(3, 12), month_number(at(bare, 1))))
+            month = F.coalesce(F.when(~s.contains("."), _lookup(F.upper(at(bare, 1)), short)), month_number(at(bare, 1)))
             whole = (F.size(bare) == 3) & month.isNotNull() & _number(at(bare, 0), 1, 2).isNotNull() & _number(at(bare, 2), 4, 4).isNotNull()
             return F.when(whole, date_struct(_number(at(bare, 2), 4, 4), month, _number(at(bare, 0), 1, 2)))
 
@@ -195,8 +196,7 @@ def death_note(note: Column, entry_year: Column) -> Column:
         def by_name(i: Column) -> Column:
             def named(at: Column) -> Column:
                 name = get(no_points, at)
-                plain = F.replace(F.replace(F.replace(name, F.lit("ä"), F.lit("ae")), F.lit("ö"), F.lit("oe")), F.lit("ü"), F.lit("ue"))
-                return dated(F.coalesce(_number(get(no_points, at + 1), 4, 4), entry_year), F.coalesce(_lookup(plain, whole), _lookup(name, whole)), day(get(no_points, i)))
+                return dated(F.coalesce(_number(get(no_points, at + 1), 4, 4), entry_year), _lookup(name, whole), day(get(no_points, i)))
 
             return let(i + 1 + F.coalesce(get(no_points, i + 1).isin(*ORDINALS), F.lit(False)).cast("int"), named)
 
