@@ -45,6 +45,12 @@ def vocabulary(path: str) -> list[bytes]:
     return [ranks.get(i, b"") for i in range(max(ranks) + 1)]
 
 
+def _joined(ids: list[list[int]], path: str) -> pa.Array:
+    """The concatenated bytes of each list of ids."""
+    get = vocabulary(path).__getitem__
+    return pa.array([b"".join(map(get, x)) for x in ids], type=pa.binary())
+
+
 def boundaries(text: str, pattern: str) -> list[int]:
     """Where the pre-tokens of ``text`` start."""
     import regex
@@ -65,17 +71,18 @@ def encode_text(text: str, path: str, pattern: str) -> list[int]:
     return [i for m in regex.finditer(pattern, text) for i in encoder._encode_single_piece(m[0])]
 
 
-def _encode_column(rows: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Replace the last column ``text`` by ``ids array<int>``."""
+def _encode_column(rows: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """Replace the last column ``text`` by ``ids array<int>`` and, if asked for, ``decoded binary``, made of these ids."""
     head = [f for f in rows.schema.fields if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in head) + ", ids array<int>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in head) + ", ids array<int>" + ", decoded binary" * decoded
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):  # ids become Python numbers: few rows at a time
                 part = batch.slice(at, 64)
-                ids = pa.array([encode_text(t, path, pattern) for t in part.column("text").to_pylist()], type=pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in head], ids], names=[*[f.name for f in head], "ids"])
+                ids = [encode_text(t, path, pattern) for t in part.column("text").to_pylist()]
+                made = [pa.array(ids, type=pa.list_(pa.int32())), *([_joined(ids, path)] if decoded else [])]
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in head], *made], names=[*[f.name for f in head], "ids", *["decoded"] * decoded])
 
     return rows.select(*[f.name for f in head], "text").mapInArrow(work, schema)
 
@@ -137,15 +144,26 @@ def _long_ids(long: DataFrame, path: str, pattern: str, size: int, overlap: int)
     return encoded.groupBy("_row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_unit", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``doc_id``, the columns of ``keep`` and ``ids array<int>`` for every row."""
+def _parts(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, keep: tuple[str, ...], chunk: int, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of at most one chunk with their ``text``, longer rows with their ``ids``)."""
     base = docs.select(F.col(id_col).alias("doc_id"), *keep, text_of(text_col).alias("text"))
     short = base.where(F.char_length("text") <= chunk)
     # Chunks of a text are tied together by its digest; copies of a long text are encoded once.
     long = base.where(F.char_length("text") > chunk).withColumn("_row", F.sha2("text", 256))
     ids = _long_ids(long.select("_row", "text").dropDuplicates(["_row"]), path, pattern, chunk, overlap)
-    names = ["doc_id", *keep, "ids"]
-    return _encode_column(short, path, pattern).select(*names).unionByName(long.drop("text").join(ids, "_row").select(*names))
+    return short, long.drop("text").join(ids, "_row").select("doc_id", *keep, "ids")
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """``doc_id``, the columns of ``keep`` and ``ids array<int>`` for every row."""
+    short, long = _parts(docs, path, pattern, id_col, text_col, keep, chunk, overlap)
+    return _encode_column(short, path, pattern).unionByName(long)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """``encode`` and ``decode`` in one: a task needs one Python worker for both, not two side by side."""
+    short, long = _parts(docs, path, pattern, id_col, text_col, keep, chunk, overlap)
+    return _encode_column(short, path, pattern, decoded=True).unionByName(decode(long, path))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -153,11 +171,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields) + ", decoded binary"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocabulary(path).__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 64):  # ids become Python numbers: few rows at a time
                 part = batch.slice(at, 64)
-                decoded = pa.array([b"".join(map(get, ids)) for ids in part.column("ids").to_pylist()], type=pa.binary())
+                decoded = _joined(part.column("ids").to_pylist(), path)
                 yield pa.RecordBatch.from_arrays([*part.columns, decoded], names=[*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(work, schema)
@@ -165,7 +182,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Digests of the ids and of the decoded bytes of every document."""
-    return decode(encode(docs, path, pattern), path).select(
+    return round_trip(docs, path, pattern).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

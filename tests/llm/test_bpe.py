@@ -17,9 +17,10 @@ def test_chunks_give_the_ids_of_the_whole_text(spark):
     docs = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(TEXTS)] + [(0, None, "kept")], "doc_id long, text string, piece string")
     direct = bpe.encoding(PATH, P.PATTERN)
     for chunk, overlap in ((64, 16), (100, 40), (1 << 16, 512)):
-        rows = bpe.decode(bpe.encode(docs, PATH, P.PATTERN, keep=("piece",), chunk=chunk, overlap=overlap), PATH).collect()
-        assert len(rows) == len(TEXTS) + 1
-        for r in rows:
+        apart = bpe.decode(bpe.encode(docs, PATH, P.PATTERN, keep=("piece",), chunk=chunk, overlap=overlap), PATH).collect()
+        together = bpe.round_trip(docs, PATH, P.PATTERN, keep=("piece",), chunk=chunk, overlap=overlap).collect()
+        assert len(apart) == len(together) == len(TEXTS) + 1
+        for r in apart + together:
             text = TEXTS[r["doc_id"]] or ""
             assert list(r["ids"]) == direct.encode_ordinary(text), (chunk, r["doc_id"])
             assert bytes(r["decoded"]) == text.encode() and r["piece"] == "kept"
