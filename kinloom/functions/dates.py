@@ -226,6 +226,27 @@ def birth_from_age(reference: Column, age: Column) -> Column:
     return F.when(has & reference.isNotNull(), F.struct(dated.alias("date"), (full & age.rlike(r"(?iu)\d+\s*tag")).alias("exact")))
 
 
+def stated_date(c: Column) -> Column:
+    """The date that a text of the format states, whatever stands around it: ``ABT 1750`` and ``BET 3 MAY 1740 AND 1745`` give their first year.
+
+    The year is the first number from 1000 to 2099 that stands alone, the month the first of ``MONTHS`` that does. The first number of the
+    text is the day if it has one or two digits, ends its word, and a word of letters follows. Null without a year.
+    """
+    years = lambda words: F.filter(F.transform(words, lambda w: _number(w, 4, 4)), lambda y: y.between(1000, 2099))
+
+    def day(parts: Column) -> Column:
+        numbered = F.filter(F.arrays_zip(parts.alias("a"), F.slice(parts, F.lit(2), F.size(parts)).alias("b")), lambda p: p["a"].rlike(r"\d"))
+        return let(F.get(numbered, F.lit(0)), lambda p: F.when(p["b"].rlike("^[A-Z]{3}"), _part(p["a"], r"^\D*(\d\d?)$", 1)))
+
+    def read(text: Column) -> Column:
+        words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+        month = F.get(F.filter(words, lambda w: w.isin(*MONTHS)), F.lit(0))
+        year = F.get(years(words), F.lit(0))
+        return F.when(year.isNotNull(), date_struct(year, _lookup(month, [(m, i + 1) for i, m in enumerate(MONTHS)]), day(F.split(F.trim(text), r"\s+"))))
+
+    return let(F.upper(F.coalesce(c, F.lit(""))), read)
+
+
 def ordinal(date: Column) -> Column:
     """Day number of a full, valid date."""
     text = F.format_string("%04d-%02d-%02d", date["y"], date["m"], date["d"])

@@ -1,7 +1,7 @@
-"""Integrity audit: rules as DataFrames over one frame of dated persons, couples and children.
+"""Integrity audit: rules as DataFrames over frames of dated persons, couples and children.
 
-``person_rules``, ``couple_rules`` and ``child_rules`` hold the register rules; ``findings`` restates
-them on orders for the driver's tables (an order date is a birth, a ship date a child, and so on).
+``register_audit`` makes the frames from register tables and applies ``person_rules``, ``couple_rules`` and ``child_rules``;
+``findings`` restates some of them on orders for the driver's tables (an order date is a birth, a ship date a child, and so on).
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import earlier, months_between
+from ..functions.dates import earlier, months_between, stated_date
 
 #: Limits of the rules (fixed values).
 LIMITS = {
@@ -18,10 +18,16 @@ LIMITS = {
 }
 
 
+#: First events that the rules look at (fixed values of the format).
+PERSON_EVENTS = {"BIRT": "birth", "CHR": "christening", "DEAT": "death", "BURI": "burial"}
+SHAPE = ("rule", "severity", "person", "family", "child")
+
+
 def _years(a: Column, b: Column) -> Column:
-    """Completed years from a to b; by the year alone where a part is unknown."""
-    before = F.coalesce((a["m"].isNotNull() & b["m"].isNotNull()) & ((b["m"] < a["m"]) | ((b["m"] == a["m"]) & a["d"].isNotNull() & b["d"].isNotNull() & (b["d"] < a["d"]))), F.lit(False))
-    return b["y"] - a["y"] - before.cast("int")
+    """Completed years from a to b; an unknown day counts as the first, by the year alone where a month is unknown."""
+    first = lambda x: F.coalesce(x["d"], F.lit(1))
+    before = (b["m"] < a["m"]) | ((b["m"] == a["m"]) & (first(b) < first(a)))
+    return b["y"] - a["y"] - F.coalesce(before, F.lit(False)).cast("int")
 
 
 def _rows(df: DataFrame, carrier: list[str], rules: list[tuple[str, str, Column]]) -> DataFrame:
@@ -30,66 +36,123 @@ def _rows(df: DataFrame, carrier: list[str], rules: list[tuple[str, str, Column]
     return df.select(*carrier, F.explode(found).alias("_f")).select(*carrier, "_f.rule", "_f.severity")
 
 
-def person_rules(persons: DataFrame, limits: dict = LIMITS) -> DataFrame:
-    """``persons``: person, sex, birth, christening, death, burial (date structs), year, n_parents, n_marriages, n_children."""
+def _firsts(events: DataFrame, owner: str, kinds: dict[str, str]) -> DataFrame:
+    """``owner`` and the stated date of its first event of each kind; a first event without a date hides later ones."""
+    first = [F.min(F.when(F.col("kind") == k, F.struct("id", "date")))["date"].alias(name) for k, name in kinds.items()]
+    rows = events.where(F.col(owner).isNotNull() & F.col("kind").isin(*kinds)).groupBy(owner).agg(*first)
+    return rows.select(owner, *[stated_date(F.col(name)).alias(name) for name in kinds.values()])
+
+
+def frames(persons: DataFrame, families: DataFrame, children: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(people, couples, offspring): persons with dates and counts, families with both spouses' dates, children with both parents'.
+
+    ``persons``: id, surn, sex. ``families``: id, husband, wife. ``children``: family, person, each edge once. ``events``: id, person, family,
+    kind, date as text. Edges of unknown families count for nothing; spouses and children that are not in ``persons`` have no
+    dates, and such children still count as children. Keys and counts are grouped before they meet the persons.
+    """
+    c = F.col
+    dated = persons.select(c("id").alias("person"), "surn", "sex").join(_firsts(events, "person", PERSON_EVENTS), "person", "left").withColumn("born", F.coalesce("birth", "christening"))
+    spouses = families.select(F.explode(F.array("husband", "wife")).alias("person")).where("person IS NOT NULL").groupBy("person").agg(F.count("*").alias("n_marriages"))
+    edges = children.select("family", c("person").alias("child")).join(families.select(c("id").alias("family")), "family", "left_semi")
+    origins = edges.groupBy(c("child").alias("person")).agg(F.count("*").alias("n_parents"))
+    people = dated.join(spouses, "person", "left").join(origins, "person", "left").fillna(0, ["n_marriages", "n_parents"])
+    side = lambda who: dated.select(c("person").alias(who), F.struct("person", "born", "death", "surn").alias(f"{who}_p"))
+    couples = (
+        families.select(c("id").alias("family"), "husband", "wife").join(side("husband"), "husband", "left").join(side("wife"), "wife", "left")
+        .join(_firsts(events, "family", {"MARR": "marriage"}), "family", "left").select("family", "husband_p", "wife_p", "marriage")
+    )
+    offspring = edges.join(couples.select("family", "husband_p", "wife_p"), "family").join(dated.select(c("person").alias("child"), "born"), "child", "left")
+    return people, couples, offspring
+
+
+def person_rules(people: DataFrame, limits: dict = LIMITS) -> DataFrame:
+    """Rules on one person. ``impossible_year`` cannot hold for dates read by ``stated_date``, which knows the years from 1000 to 2099 only."""
     c = F.col
-    born = F.coalesce("birth", "christening")
-    return _rows(persons, ["person"], [
+    years = F.array(*[c(x)["y"] for x in PERSON_EVENTS.values()])
+    found = _rows(people, ["person"], [
         ("birth_after_death", "error", earlier(c("death"), c("birth"))),
         ("christening_before_birth", "error", earlier(c("christening"), c("birth"))),
         ("burial_before_death", "error", earlier(c("burial"), c("death"))),
         ("christening_after_burial", "error", earlier(c("burial"), c("christening"))),
-        ("impossible_year", "error", ~c("year").between(1000, 2100)),
-        ("great_age", "warning", _years(born, c("death")) > limits["age_max"]),
+        ("impossible_year", "error", F.exists(years, lambda y: ~y.between(1000, 2100))),
+        ("great_age", "warning", _years(c("born"), c("death")) > limits["age_max"]),
         ("sex_unknown", "warning", F.coalesce("sex", F.lit("")) == ""),
         ("unconnected", "warning", (c("n_parents") == 0) & (c("n_marriages") == 0)),
         ("several_parents", "warning", c("n_parents") > 1),
         ("many_marriages", "warning", c("n_marriages") > limits["marriages_max"]),
     ])
+    return _shaped(found)
+
+
+def _shaped(found: DataFrame) -> DataFrame:
+    """Findings with all columns of ``SHAPE``; carriers that a rule does not have are null."""
+    return found.select(*[F.col(x) if x in found.columns else F.lit(None).cast("bigint").alias(x) for x in SHAPE])
 
 
 def couple_rules(couples: DataFrame, limits: dict = LIMITS) -> DataFrame:
-    """``couples``: family, marriage, and for husband and wife birth and death structs and surname."""
+    """Rules on a marriage: of each spouse, and of both."""
     c = F.col
-    rules = []
-    for side in ("husband", "wife"):
-        birth, death = c(f"{side}_birth"), c(f"{side}_death")
-        rules += [
-            (f"marriage_before_birth_{side}", "error", earlier(c("marriage"), birth)),
-            (f"marriage_after_death_{side}", "error", earlier(death, c("marriage"))),
-            (f"married_young_{side}", "warning", _years(birth, c("marriage")) < limits["marriage_min"]),
-            (f"married_old_{side}", "warning", _years(birth, c("marriage")) > limits["marriage_max"]),
-        ]
-    rules += [
-        ("spouse_age_gap", "warning", F.abs(c("husband_birth")["y"] - c("wife_birth")["y"]) > limits["spouse_gap"]),
-        ("same_surname", "warning", (F.lower("husband_surname") == F.lower("wife_surname")) & (c("husband_surname") != "")),
-    ]
-    return _rows(couples, ["family"], rules)
+    one = couples.select("family", "marriage", F.explode(F.array("husband_p", "wife_p")).alias("s")).where("s IS NOT NULL").select("family", "marriage", "s.*")
+    age = _years(c("born"), c("marriage"))
+    of_one = _rows(one, ["person", "family"], [
+        ("marriage_before_birth", "error", earlier(c("marriage"), c("born"))), ("marriage_after_death", "error", earlier(c("death"), c("marriage"))),
+        ("married_young", "warning", age < limits["marriage_min"]), ("married_old", "warning", age > limits["marriage_max"]),
+    ])
+    h, w = c("husband_p"), c("wife_p")
+    of_both = _rows(couples, ["family"], [
+        ("spouse_age_gap", "warning", F.abs(h["born"]["y"] - w["born"]["y"]) > limits["spouse_gap"]),
+        ("same_surname", "warning", (F.lower(h["surn"]) == F.lower(w["surn"])) & (h["surn"] != "")),
+    ])
+    return _shaped(of_one).unionByName(_shaped(of_both))
 
 
-def child_rules(children: DataFrame, limits: dict = LIMITS) -> DataFrame:
-    """``children``: family, child, birth, father_birth, father_death, mother_birth, mother_death, has_mother, has_father."""
+def child_rules(offspring: DataFrame, limits: dict = LIMITS) -> DataFrame:
+    """Rules on children with a date, one by one, against the child before and by family; all children count for ``many_children``."""
     c = F.col
-    dated = children.where("birth IS NOT NULL")
-    w = Window.partitionBy("family").orderBy(c("birth")["y"], c("birth")["m"].asc_nulls_first(), c("birth")["d"].asc_nulls_first(), "child")
-    gap = months_between(F.lag("birth").over(w), c("birth"))
-    framed = dated.withColumn("gap", gap).withColumn("same", F.lag("birth").over(w).eqNullSafe(c("birth")))
-    father, mother = _years(c("father_birth"), c("birth")), _years(c("mother_birth"), c("birth"))
-    single = _rows(framed, ["family", "child"], [
-        ("child_before_father", "error", father < 0), ("child_before_mother", "error", mother < 0),
-        ("young_father", "warning", (father >= 0) & (father < limits["father_min"])), ("young_mother", "warning", (mother >= 0) & (mother < limits["mother_min"])),
-        ("old_father", "warning", father > limits["father_max"]), ("old_mother", "warning", mother > limits["mother_max"]),
-        ("child_after_mother_died", "error", earlier(c("mother_death"), c("birth"))),
-        ("child_long_after_father_died", "error", earlier(c("father_death"), c("birth")) & (months_between(c("father_death"), c("birth")) > limits["months_after_father"])),
-        ("long_gap", "warning", c("gap") > limits["gap_years"] * 12),
-        ("short_gap", "warning", (c("gap") > 0) & (c("gap") < limits["gap_months_min"]) & ~c("same")),
-    ])
-    per_family = children.groupBy("family").agg(F.count("*").alias("n"), (F.max(c("birth")["y"]) - F.min(c("birth")["y"])).alias("span"), F.bool_or("has_mother").alias("m"), F.bool_or("has_father").alias("f"))
-    whole = _rows(per_family, ["family"], [
-        ("long_span", "warning", c("span") > limits["span_years"]),
-        ("many_children", "warning", F.when(c("m"), c("n") > limits["children_max_mother"]).when(c("f"), c("n") > limits["children_max_father"])),
+    born, age = c("born"), c("age")
+    parent = lambda who, role: F.struct(F.lit(role).alias("role"), c(who).alias("p"))
+    pairs = (
+        offspring.where("born IS NOT NULL").select("family", "child", "born", F.explode(F.array(parent("husband_p", "father"), parent("wife_p", "mother"))).alias("s")).where("s.p IS NOT NULL")
+        .select("family", "child", "born", "s.role", c("s.p.person").alias("person"), c("s.p.death").alias("death"), _years(c("s.p.born"), born).alias("age"))
+    )
+    late = earlier(c("death"), born)
+    rules = [("child_before_parent", "error", age < 0)]
+    for role in ("father", "mother"):
+        own = c("role") == role
+        rules += [(f"young_{role}", "warning", own & (age >= 0) & (age < limits[f"{role}_min"])), (f"old_{role}", "warning", own & (age > limits[f"{role}_max"]))]
+    rules += [
+        ("child_after_mother_died", "error", (c("role") == "mother") & late),
+        ("child_long_after_father_died", "error", (c("role") == "father") & late & (months_between(c("death"), born) > limits["months_after_father"])),
+    ]
+    w = Window.partitionBy("family").orderBy(born["y"], F.coalesce(born["m"], F.lit(0)), F.coalesce(born["d"], F.lit(0)), "child")
+    # The window needs three numbers of a child, not its parents.
+    row = offspring.where("born IS NOT NULL").select("family", "child", "born").withColumn("before", F.lag("born").over(w))
+    gap = months_between(c("before"), born)
+    neighbours = _rows(row, ["family", "child"], [
+        ("long_gap", "warning", gap > limits["gap_years"] * 12),
+        ("short_gap", "warning", (gap > 0) & (gap < limits["gap_months_min"]) & ~c("before").eqNullSafe(born)),
     ])
-    return single.unionByName(whole.withColumn("child", F.lit(None).cast(children.schema["child"].dataType)))
+    per_family = offspring.groupBy("family").agg(
+        F.count("*").alias("n"), (F.max(born["y"]) - F.min(born["y"])).alias("span"), F.max("husband_p.person").alias("husband"), F.max("wife_p.person").alias("wife")
+    )
+    many_mother, many_father = c("wife").isNotNull() & (c("n") > limits["children_max_mother"]), c("husband").isNotNull() & (c("n") > limits["children_max_father"])
+    whole = _rows(per_family, ["family"], [("long_span", "warning", c("span") > limits["span_years"])])
+    many = _rows(per_family.withColumn("person", F.when(many_mother, c("wife")).when(many_father, c("husband"))), ["person", "family"], [("many_children", "warning", c("person").isNotNull())])
+    out = _shaped(_rows(pairs, ["person", "family", "child"], rules))
+    for more in (neighbours, whole, many):
+        out = out.unionByName(_shaped(more))
+    return out
+
+
+def register_audit(persons: DataFrame, families: DataFrame, children: DataFrame, events: DataFrame, limits: dict | None = None) -> DataFrame:
+    """``rule, severity, person, family, child`` for everything that the 27 rules find in a stock of register tables.
+
+    ``limits`` replaces single bounds of ``LIMITS``. Rows repeat where two children of one parent give the same finding only if the child
+    agrees too. Null and unreadable dates give no finding; empty tables give no rows; further columns are left out.
+    """
+    people, couples, offspring = frames(persons, families, children, events)
+    bounds = {**LIMITS, **(limits or {})}
+    return person_rules(people, bounds).unionByName(couple_rules(couples, bounds)).unionByName(child_rules(offspring, bounds))
 
 
 def findings(customer: DataFrame, orders: DataFrame, lineitem: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("registers", "names", "linkage", "parish", "changes", "files")
+MODULES = ("registers", "names", "linkage", "parish", "stock", "changes", "files")
 
 
 def load() -> None:
