@@ -1,8 +1,11 @@
 """Steps whose rows or memory once grew faster than the tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from kinloom.operators import anchors
+from kinloom.operators import matching as M
 
 
 def test_alike_entries_meet_their_couples_once(spark):
@@ -31,3 +34,23 @@ def test_a_couple_counts_once_however_many_keys_it_shares(spark):
     assert {r["entry"]: (r["n"], r["family"], r["reason"]) for r in got} == {
         1: (2, None, "several couples"), 2: (1, 10, "by given names"), 3: (2, None, "several couples"), 4: (0, None, "both known, no couple"), 5: (0, None, "mother known"),
     }
+
+
+def test_least_common_equals_sets(spark):
+    """With blocks of one owner, of a few and of all, and with cells dealt by member."""
+    draw = random.Random(4)
+    have = {owner: set(draw.sample(range(60), draw.randrange(0, 12))) for owner in (*range(25), 10**12, -3)}
+    pairs = [(a, b) for a in have for b in have if draw.random() < 0.4]
+    want = {(a, b, min(have[a] & have[b])) for a, b in pairs if have[a] & have[b]}
+    frames = spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame([(o, m) for o, ms in have.items() for m in ms], "owner long, member long")
+    for block, cell in ((1, 1000), (4, 10), (100, 1000)):
+        assert {tuple(r) for r in M.least_common(*frames, block, cell).collect()} == want
+
+
+def test_members_travel_once_a_cell(spark):
+    """400 owners with 300 members each and all their pairs: a join of pairs and members would have 24 million rows."""
+    members = spark.range(400 * 300).select((F.col("id") % 400).alias("owner"), (F.col("id") % 400 % 7 + 7 * F.floor(F.col("id") / 400)).alias("member"))
+    ids = spark.range(400 * 400)
+    pairs = ids.select(F.floor(F.col("id") / 400).alias("a"), (F.col("id") % 400).alias("b"))
+    got = M.least_common(pairs, members)
+    assert got.count() == sum(1 for a in range(400) for b in range(400) if a % 7 == b % 7)
