@@ -37,6 +37,21 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Parts over which rows without a key are dealt.
+SPREAD = 1024
+
+
+def left_known(df: DataFrame, other: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """``df`` left-joined with ``other`` on ``key``; rows without a key, which a join puts into one task, are dealt by a hash of ``by``.
+
+    Rows without a key have a part of their own beside it and match nothing, as before.
+    """
+    # On the right the part is always 0. It is computed, since a constant would be taken out of the join's keys.
+    known = other.withColumnRenamed(key, "_known").withColumn("_zero", F.pmod(F.hash("_known"), F.lit(1)))
+    dealt = df.withColumn("_part", F.when(F.col(key).isNull(), F.pmod(F.hash(*by), F.lit(SPREAD))).otherwise(F.lit(0)))
+    return dealt.join(known, (F.col(key) == F.col("_known")) & (F.col("_part") == F.col("_zero")), "left").drop("_part", "_known", "_zero")
+
+
 def edge_holds(closeness: Column, proofs: Column) -> Column:
     """Whether a spelling edge is accepted: close enough, or nearly so with two proofs (fixed values)."""
     return (closeness >= 0.65) | ((closeness >= 0.60) & (proofs >= 2))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .graph import checkpointed
+from .graph import checkpointed, left_known
 from .numbering import numbered_rows
 
 #: What a sex field may say, and the roles for which a single word is a given name.
@@ -75,7 +75,7 @@ def _decided(couples: DataFrame, known: DataFrame) -> DataFrame:
     created; ``ids``: the pair of linked persons, else null. Couples of the capture from before carry negative places and are created.
     """
     in_stock = known.select("ids").distinct().withColumn("stock", F.lit(True))
-    state = couples.join(in_stock, "ids", "left").select(
+    state = left_known(couples, in_stock, "ids", ["pos"]).select(
         "pos", "ord", "asks", "name", "ids", F.when(F.col("pos") < 0, F.lit(True)).when(F.col("stock") & F.col("asks").isNull(), F.lit(False)).alias("created"), F.coalesce("stock", F.lit(False)).alias("stock")
     )
     while True:
@@ -86,7 +86,7 @@ def _decided(couples: DataFrame, known: DataFrame) -> DataFrame:
             F.min(F.when(F.col("created"), F.col(at))).alias(f"{wanted}_made"), F.min(F.when(F.col("created").isNull(), F.col(at))).alias(f"{wanted}_open")
         )
         by_name, by_ids = first("name", "ord", "asks"), first("ids", "pos", "ids")
-        seen = state.join(by_name, F.col("asks") == F.col("_asks"), "left").join(by_ids, F.col("ids") == F.col("_ids"), "left")
+        seen = left_known(left_known(state, by_name.withColumnRenamed("_asks", "asks"), "asks", ["pos"]), by_ids.withColumnRenamed("_ids", "ids"), "ids", ["pos"])
         earlier = lambda made, place: F.coalesce(F.col(made) < F.col(place), F.lit(False))
         reused, found = earlier("asks_made", "ord"), earlier("ids_made", "pos") | F.col("stock")
         waits = earlier("asks_open", "ord") | (earlier("ids_open", "pos") & ~F.col("stock"))
@@ -110,7 +110,7 @@ def handover(said: DataFrame, plan: Plan, persons: DataFrame, families: DataFram
     rows = said.where(F.col("role").isin(*plan.roles)).withColumn("_p", name_parts(F.col("role"), F.col("value"), F.col("given")))
     head = rows.where(F.col("role") == plan.head).select("entry", F.col("_p.surname").alias("_heir"))
     named = persons.select("person", F.col("name").alias("_stock_name"))
-    present = rows.join(head, "entry", "left").where((F.coalesce("value", F.lit("")) != "") | F.col("person").isNotNull()).join(named, "person", "left")
+    present = left_known(rows.join(head, "entry", "left").where((F.coalesce("value", F.lit("")) != "") | F.col("person").isNotNull()), named, "person", ["entry"])
     surname = F.coalesce("_p.surname", "_heir")
     present = checkpointed(present.select(
         "entry", "ord", "role", F.col("value"), "person", F.col("_p.given").alias("given"), surname.alias("surname"), role_sex(F.col("role"), F.col("sex")).alias("sex"),
@@ -145,7 +145,9 @@ def handover(said: DataFrame, plan: Plan, persons: DataFrame, families: DataFram
     first_name = made.where(F.col("name").isNotNull()).groupBy(F.col("name").alias("asks")).agg(F.min(F.struct("ord", "pos")).alias("n"))
     of_ids = made.where(F.col("ids").isNotNull()).groupBy("ids").agg(F.min("pos").alias("i_pos"))
     stock_ids = both_known.groupBy(ids.alias("ids")).agg(F.min("family").alias("i_family"))
-    told = state.where(F.col("pos") >= 0).join(first_name, "asks", "left").join(of_ids, "ids", "left").join(stock_ids, "ids", "left")
+    told = state.where(F.col("pos") >= 0)
+    for known, key in ((first_name, "asks"), (of_ids, "ids"), (stock_ids, "ids")):
+        told = left_known(told, known, key, ["pos"])
     reused = ~F.col("created") & F.coalesce(F.col("n.ord") < F.col("ord"), F.lit(False))
     told = told.select("pos", F.when(F.col("created"), "created").when(reused, "reused").otherwise("found").alias("state"), F.when(F.col("created"), F.col("pos")).when(reused, F.col("n.pos")).when(F.col("i_family").isNull(), F.col("i_pos")).alias("target"), F.when(~F.col("created") & ~reused, F.col("i_family")).alias("i_family"))
     outcome = checkpointed(here.select("entry", "couple", "pos").join(told, "pos"))
@@ -170,7 +172,7 @@ def handover(said: DataFrame, plan: Plan, persons: DataFrame, families: DataFram
     every = checkpointed(created.unionByName(families.where("own").select((F.col("family") - F.lit(1 << 62)).alias("target"), "family", "husband", "wife")))
     stock = families.select(F.col("family").alias("i_family"), F.col("husband").alias("i_husband"), F.col("wife").alias("i_wife"))
     couples = checkpointed(
-        outcome.join(every, "target", "left").join(stock, "i_family", "left")
+        left_known(left_known(outcome, every, "target", ["pos"]), stock, "i_family", ["pos"])
         .select("entry", "couple", F.coalesce("family", "i_family").alias("family"), "state", F.coalesce("husband", "i_husband").alias("husband"), F.coalesce("wife", "i_wife").alias("wife"))
     )
     again = couples.where(F.col("state") == "reused").select("entry", F.explode(F.array(F.struct(side(0).alias("role"), F.col("husband").alias("p")), F.struct(side(1).alias("role"), F.col("wife").alias("p")))).alias("r")).select("entry", "r.role", F.col("r.p").alias("_again"))

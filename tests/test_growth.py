@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from kinloom.operators import anchors
+from kinloom.operators import anchors, audit, graph
 from kinloom.operators import matching as M
 
 
@@ -54,3 +54,32 @@ def test_members_travel_once_a_cell(spark):
     pairs = ids.select(F.floor(F.col("id") / 400).alias("a"), (F.col("id") % 400).alias("b"))
     got = M.least_common(pairs, members)
     assert got.count() == sum(1 for a in range(400) for b in range(400) if a % 7 == b % 7)
+
+
+def test_rows_without_a_key_are_dealt(spark):
+    df = spark.range(4000).select("id", F.when(F.col("id") % 100 == 0, F.col("id")).alias("key"))
+    other = spark.range(0, 4000, 200).select(F.col("id").alias("key"), F.lit("x").alias("found"))
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = graph.left_known(df, other, "key", ["id"]).withColumn("task", F.spark_partition_id())
+        tasks = [r["count"] for r in got.where("key IS NULL").groupBy("task").count().collect()]
+        assert len(tasks) == 4 and max(tasks) < 1300  # a plain join puts all 3,960 into one
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    assert sorted(tuple(r) for r in got.select("id", "key", "found").where("found IS NOT NULL").collect()) == [(k, k, "x") for k in range(0, 4000, 200)]
+    assert got.count() == 4000 and got.columns == ["id", "key", "found", "task"]
+
+
+def test_lines_are_brought_together_before_they_are_grouped(spark):
+    """No task groups lines of all orders as they come; the grouping needs one shuffle of them."""
+    frame = spark.createDataFrame
+    c = frame([(1, 5.0, "X")], "c_custkey long, c_acctbal double, c_mktsegment string")
+    o = frame([(k, 1, "2000-01-01", "F" if k != 3 else "P", 1.0) for k in (1, 2, 3, 4)], "o_orderkey long, o_custkey long, o_orderdate string, o_orderstatus string, o_totalprice double")
+    li = frame([(1, "A"), (1, "B"), (2, "A"), (2, None), (3, "A"), (3, "B"), (4, None)], "l_orderkey long, l_linestatus string").withColumn("l_shipdate", F.lit("2000-02-01"))
+    found = audit.findings(c, o, li)
+    assert [r["id"] for r in found.where("rule = 'mixed_status'").collect()] == [1]
+    grouped = audit.findings(c, o, li)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [l_orderkey" in grouped
