@@ -61,6 +61,8 @@ POINTS_AT = {
     "to_note": "SNOTE", "citation": "SOUR", "to_media": "OBJE", "to_sender": "SUBM", "to_spouse": "INDI", "to_child": "INDI", "associate": "INDI", "to_alias": "INDI",
     "to_parents": "FAM", "to_union": "FAM", "to_family": "FAM", "adopting": "FAM", "to_store": "REPO",
 }
+#: Parts over which the lines of one tag, or without a pointer, are dealt in a join.
+SPREAD = 64
 #: Events and facts that hold no text of their own, so it moves into a note, and the values of SEX (fixed values of the standard).
 WITHOUT_TEXT = ("ADOP", "BIRT", "CHR", *_EVENTS, *_UNIONS)
 SEXES = ("M", "F", "X", "U")
@@ -139,7 +141,14 @@ def findings(records: DataFrame) -> DataFrame:
     declared = lines.where(kind == "declaration").select(F.col("source").alias("_source"), F.substring_index("value", " ", 1).alias("_declared")).distinct()
     targets = records.where(F.col("xref").isNotNull()).groupBy(F.col("source").alias("_s"), F.col("xref").alias("_x")).agg(F.min("typ").alias("_typ"))
     pointer = F.when(value.rlike(r"^@[^@\s]+@$") & (value != VOID), value)
-    lines = lines.withColumn("_pointer", pointer).join(declared, (F.col("source") == F.col("_source")) & (tag == F.col("_declared")), "left").join(targets, (F.col("source") == F.col("_s")) & (F.col("_pointer") == F.col("_x")), "left")
+    # Lines without a pointer are most lines, and a file has few tags: both are dealt over parts, or one task would join them.
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_own")
+    any_part = F.pmod(F.hash("seq", "n"), F.lit(SPREAD))
+    lines = (
+        lines.withColumn("_pointer", pointer).withColumn("_tag", F.when(tag.startswith("_"), tag)).withColumn("_part", any_part).withColumn("_rest", F.when(F.col("_pointer").isNull(), any_part).otherwise(F.lit(0)))
+        .join(declared.select("*", parts), (F.col("source") == F.col("_source")) & (F.col("_tag") == F.col("_declared")) & (F.col("_part") == F.col("_own")), "left")
+        .join(targets.withColumn("_zero", F.pmod(F.hash("_x"), F.lit(1))), (F.col("source") == F.col("_s")) & (F.col("_pointer") == F.col("_x")) & (F.col("_rest") == F.col("_zero")), "left")
+    )
     points_at = F.try_element_at(_map(POINTS_AT), kind)
     is_pointer = value.rlike(r"^@[^@\s]+@$")
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
