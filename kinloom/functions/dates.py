@@ -215,15 +215,20 @@ def birth_from_age(reference: Column, age: Column) -> Column:
 
     Months are subtracted first, with the day held to 28 at most; then weeks and days.
     """
-    amount = lambda unit: F.coalesce(_part(age, rf"(?iu)(\d+)\s*{unit}", 1), F.lit(0))
-    has = age.rlike(r"(?iu)\d+\s*(jahr|monat|woche|tag)")
-    years, months, weeks, days = (amount(u) for u in ("jahr", "monat", "woche", "tag"))
-    total = reference["y"] * 12 + reference["m"] - 1 - years * 12 - months
-    base = F.make_date(F.floor(total / 12).cast("int"), (F.pmod(total, F.lit(12)) + 1).cast("int"), F.least(reference["d"], F.lit(28)))
-    day = F.date_sub(base, days + weeks * 7)
+    units = ("jahr", "monat", "woche", "tag")
     full = reference["m"].isNotNull() & reference["d"].isNotNull()
-    dated = F.when(full, date_struct(F.year(day), F.month(day), F.dayofmonth(day))).otherwise(date_struct(reference["y"] - years, F.lit(None), F.lit(None)))
-    return F.when(has & reference.isNotNull(), F.struct(dated.alias("date"), (full & age.rlike(r"(?iu)\d+\s*tag")).alias("exact")))
+
+    def read(said: Column) -> Column:
+        """Each unit is searched for once; what it says is used several times."""
+        years, months, weeks, days = (F.coalesce(said[u].try_cast("int"), F.lit(0)) for u in units)
+        has = (said["jahr"] != "") | (said["monat"] != "") | (said["woche"] != "") | (said["tag"] != "")
+        total = reference["y"] * 12 + reference["m"] - 1 - years * 12 - months
+        base = let(total, lambda t: F.make_date(F.floor(t / 12).cast("int"), (F.pmod(t, F.lit(12)) + 1).cast("int"), F.least(reference["d"], F.lit(28))))
+        to_day = let(F.date_sub(base, days + weeks * 7), lambda day: date_struct(F.year(day), F.month(day), F.dayofmonth(day)))
+        dated = F.when(full, to_day).otherwise(date_struct(reference["y"] - years, F.lit(None), F.lit(None)))
+        return F.when(has & reference.isNotNull(), F.struct(dated.alias("date"), (full & (said["tag"] != "")).alias("exact")))
+
+    return let(F.struct(*[F.regexp_extract(age, rf"(?iu)(\d+)\s*{u}", 1).alias(u) for u in units]), read)
 
 
 def stated_date(c: Column) -> Column:

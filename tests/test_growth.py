@@ -4,6 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from kinloom.functions import dates as D
+from kinloom.functions import text as T
 from kinloom.operators import anchors, audit, graph
 from kinloom.operators import matching as M
 
@@ -83,3 +85,21 @@ def test_lines_are_brought_together_before_they_are_grouped(spark):
     assert [r["id"] for r in found.where("rule = 'mixed_status'").collect()] == [1]
     grouped = audit.findings(c, o, li)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [l_orderkey" in grouped
+
+
+def test_forms_that_are_related_share_the_class_of_their_first_letter(spark):
+    draw = random.Random(6)
+    heads = ["th", "dt", "d", "t", "ck", "c", "k", "ph", "p", "f", "v", "y", "ey", "ai", "ay", "a", "e", "i", "z", "s", "aa", "ß", "Ä", "dth"]
+    words = [draw.choice(heads) + "".join(draw.choice("aeiyhtdkcpfvzsr") for _ in range(draw.randrange(1, 6))) + draw.choice(("", "in", "en", "er", "e")) for _ in range(3000)]
+    df = spark.createDataFrame([(w,) for w in words], "w string").withColumn("f", T.fold(F.col("w")))
+    kin = F.array_union(T.name_candidates(F.col("w")), F.array("f", T.skeleton(F.col("f"))))
+    assert df.where(F.exists(kin, lambda x: T._first_class(x) != T._first_class(F.col("f")))).count() == 0
+    assert T._first_class(F.lit("x")) is not None
+
+
+def test_an_age_is_searched_once_for_each_unit(spark):
+    df = spark.createDataFrame([(1808, 3, 31, "2 JAHRE 1 Woche"), (1808, 3, 31, None), (1808, 3, 31, "99999999999 Tage"), (1808, None, None, "3 Tage")], "y int, m int, d int, age string")
+    out = df.select(D.birth_from_age(D.date_struct(F.col("y"), F.col("m"), F.col("d")), F.col("age")).alias("b"))
+    assert [r[0] and (tuple(r[0]["date"]), r[0]["exact"]) for r in out.collect()] == [((1806, 3, 21), False), None, ((1808, 3, 28), True), ((1808, None, None), False)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 4 and "RLIKE" not in plan
