@@ -49,6 +49,16 @@ def test_least_common_equals_sets(spark):
         assert {tuple(r) for r in M.least_common(*frames, block, cell).collect()} == want
 
 
+def test_members_travel_as_chunks(spark):
+    """2,000 members of an owner are one row of two bytes each, not 2,000 rows; members may be missing, doubled, below zero or far apart."""
+    rows = spark.range(40_000).select((F.col("id") % 20).alias("owner"), F.floor(F.col("id") / 20).alias("member"))
+    assert [r[0] for r in M.chunks(rows.unionByName(rows)).select(F.size("places")).collect()] == [2000] * 20
+    have = [(1, -5000), (1, 7), (1, 2**50), (1, None), (2, 2**50), (2, -5000), (2, -5000), (3, 7), (3, None), (None, 7), (4, None)]
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (1, 4), (4, 3)], "a long, b long")
+    got = M.least_common(pairs, spark.createDataFrame(have, "owner long, member long"), 2, 3).collect()
+    assert {tuple(r) for r in got} == {(1, 2, -5000), (1, 3, 7)}
+
+
 def test_members_travel_once_a_cell(spark):
     """400 owners with 300 members each and all their pairs: a join of pairs and members would have 24 million rows."""
     members = spark.range(400 * 300).select((F.col("id") % 400).alias("owner"), (F.col("id") % 400 % 7 + 7 * F.floor(F.col("id") / 400)).alias("member"))
