@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.graph import written
 from ..sources import gedcom7 as G
 from ..sources import record_writers as W
 from ..session import table
@@ -81,7 +82,7 @@ WITH {_TABLES}, p AS (
 SELECT cause, count(*) AS n, 'INDI @I' || min(k) || '@' || min(path) AS example FROM p GROUP BY 1 UNION ALL SELECT 'GEDC is missing', 1, 'HEAD'""")
 def validate7(spark, sf):
     """Findings in the file that the tables give in the older form; it was not made for GEDCOM 7."""
-    return G.validate(_as_file(W.rewritten(*register_tables(spark, sf)))).select("cause", "n", "example")
+    return G.validate(written(_as_file(W.rewritten(*register_tables(spark, sf))))).select("cause", "n", "example")
 
 
 @query("validate7_export", """

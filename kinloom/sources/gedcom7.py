@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import to_record_date
 from ..functions.text import let
-from ..operators.graph import checkpointed
+from ..operators.graph import written
 from .line_records import record_lines
 from .record_writers import AS_PLACE, AT_NAME, _joined, _line, _lines, _no_lines, _record
 
@@ -96,16 +96,18 @@ def _entry(kind: Column, tag: Column) -> Column:
 _BELOW = {f"{kind} {tag}": below for kind, rows in RULES.items() for tag, (below, _) in rows.items()}
 _ONCE = {f"{kind} {tag}": tag for kind, rows in RULES.items() for tag, (_, sign) in rows.items() if sign in ("", "!")}
 _NEEDED = {kind: " ".join(t for t, (_, sign) in rows.items() if sign in _LEAST) for kind, rows in RULES.items() if kind != "file"}
+_MEETS = {f"{kind} {tag}": tag for kind, tags in _NEEDED.items() for tag in tags.split()}
 
 
 def typed_lines(records: DataFrame) -> DataFrame:
-    """``source, seq, n, level, xref, tag, value, type, up, up_type, path, jumps`` of every line of ``source, seq, xref, typ, raw``; ``up`` is the number of the line above.
+    """``source, seq, n, level, xref, tag, value, type, up, up_type, up_path, path, jumps`` of every line of ``source, seq, xref, typ, raw``; ``up`` is the number of the line above.
 
-    ``path`` names the tags down to the line, the record with its id.
+    ``path`` names the tags down to the line, the record with its id. Records travel whole and are cut into lines where they arrive.
     """
-    lines = record_lines(records).where(~F.col("tag").eqNullSafe(F.lit("CONT"))).withColumn("tag", F.coalesce("tag", F.lit("")))
+    cut = lambda rows: record_lines(rows).where(~F.col("tag").eqNullSafe(F.lit("CONT"))).withColumn("tag", F.coalesce("tag", F.lit("")))
+    lines = cut(records.repartition("source", "seq"))
     deepest = 0
-    for level in sorted(r[0] for r in lines.where("level IS NOT NULL").select("level").distinct().collect()):  # as many as levels
+    for level in sorted(r[0] for r in cut(records).where("level IS NOT NULL").select("level").distinct().collect()):  # as many as levels
         if level > deepest + 1:
             break  # no line of these levels has a line above it
         deepest = level
@@ -116,13 +118,13 @@ def typed_lines(records: DataFrame) -> DataFrame:
     last = lambda cond, value: F.last(F.when(cond, value), ignorenulls=True).over(before)
     none = F.lit(None).cast("string")
     out = lines.withColumn("type", F.when(at(0), below(F.lit("file"))).otherwise(none)).withColumn("path", F.when(at(0), F.concat_ws(" ", "tag", "xref")).otherwise(none))
-    out = out.withColumn("up", F.lit(None).cast("int")).withColumn("up_type", F.when(at(0), F.lit("file")).otherwise(none))
+    out = out.withColumn("up", F.lit(None).cast("int")).withColumn("up_type", F.when(at(0), F.lit("file")).otherwise(none)).withColumn("up_path", none)
     for level in range(1, deepest + 1):
         above = last(at(level - 1), F.struct("n", "type", "path"))
         found = out.withColumn("_up", F.when(at(level), F.when(above["n"] == last(F.col("level") < level, F.col("n")), above)))
         here = at(level) & F.col("_up").isNotNull()
         out = (
-            found.withColumn("up", F.when(here, F.col("_up.n")).otherwise(F.col("up"))).withColumn("up_type", F.when(here, F.col("_up.type")).otherwise(F.col("up_type")))
+            found.withColumn("up", F.when(here, F.col("_up.n")).otherwise(F.col("up"))).withColumn("up_type", F.when(here, F.col("_up.type")).otherwise(F.col("up_type"))).withColumn("up_path", F.when(here, F.col("_up.path")).otherwise(F.col("up_path")))
             .withColumn("type", F.when(here, below(F.col("_up.type"))).otherwise(F.col("type"))).withColumn("path", F.when(here, F.concat_ws(" > ", "_up.path", "tag")).otherwise(F.col("path"))).drop("_up")
         )
     jumps = (F.col("level") > 0) & F.col("up").isNull()
@@ -135,20 +137,16 @@ def extension_tags(records: DataFrame) -> DataFrame:
 
 
 def findings(records: DataFrame) -> DataFrame:
-    """``source, seq, n, cause, path`` of everything in ``records (source, seq, xref, typ, raw)`` that the standard does not allow."""
-    lines = checkpointed(typed_lines(records))
+    """``source, seq, n, cause, path`` of everything in ``records (source, seq, xref, typ, raw)`` that the standard does not allow.
+
+    The records are read several times. The lines are gone through once and leave notes: findings, and what must be looked up elsewhere in the file. Only
+    notes are written and joined; a line that needs neither leaves none.
+    """
     tag, kind, value = F.col("tag"), F.col("type"), F.coalesce("value", F.lit(""))
-    declared = lines.where(kind == "declaration").select(F.col("source").alias("_source"), F.substring_index("value", " ", 1).alias("_declared")).distinct()
-    targets = records.where(F.col("xref").isNotNull()).groupBy(F.col("source").alias("_s"), F.col("xref").alias("_x")).agg(F.min("typ").alias("_typ"))
+    # The second of equal tags below a line stands for all of them; a parted window needs no further shuffle, the records lie together.
+    place = F.when(F.col("up").isNotNull(), F.row_number().over(Window.partitionBy("source", "seq", "up", "tag").orderBy("n")))
+    lines = typed_lines(records).withColumn("_place", place)
     pointer = F.when(value.rlike(r"^@[^@\s]+@$") & (value != VOID), value)
-    # Lines without a pointer are most lines, and a file has few tags: both are dealt over parts, or one task would join them.
-    parts = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_own")
-    any_part = F.pmod(F.hash("seq", "n"), F.lit(SPREAD))
-    lines = (
-        lines.withColumn("_pointer", pointer).withColumn("_tag", F.when(tag.startswith("_"), tag)).withColumn("_part", any_part).withColumn("_rest", F.when(F.col("_pointer").isNull(), any_part).otherwise(F.lit(0)))
-        .join(declared.select("*", parts), (F.col("source") == F.col("_source")) & (F.col("_tag") == F.col("_declared")) & (F.col("_part") == F.col("_own")), "left")
-        .join(targets.withColumn("_zero", F.pmod(F.hash("_x"), F.lit(1))), (F.col("source") == F.col("_s")) & (F.col("_pointer") == F.col("_x")) & (F.col("_rest") == F.col("_zero")), "left")
-    )
     points_at = F.try_element_at(_map(POINTS_AT), kind)
     is_pointer = value.rlike(r"^@[^@\s]+@$")
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
@@ -157,23 +155,39 @@ def findings(records: DataFrame) -> DataFrame:
         F.when(F.col("level").isNull() & (F.col("n") >= 0), say("not a line")),
         F.when(F.col("jumps"), say("level jumps")),
         F.when(F.col("xref").isNotNull() & (F.col("level") > 0), say("id below a record")),
-        F.when(own & F.col("_declared").isNull(), say("extension tag ", tag, " is not declared in HEAD.SCHMA")),
         F.when(~own & F.col("level").isNotNull() & kind.isNull() & F.col("up_type").isNotNull(), say(tag, " has no place here")),
         F.when(kind.isin(*NO_VALUE) & (value != ""), say(tag, " has a value and may have none")),
         F.when(kind.isin(*YES_OR_NONE) & ~value.isin("", "Y"), say(tag, " has text; only Y or nothing is allowed")),
         F.when(points_at.isNotNull() & ~is_pointer, say(tag, " needs a pointer")),
-        F.when(points_at.isNotNull() & (F.col("_typ") != points_at), say(tag, " points at a record of another kind")),
         F.when(kind.isNotNull() & points_at.isNull() & is_pointer, say(tag, " has a pointer and needs text")),
-        F.when(F.col("_pointer").isNotNull() & F.col("_x").isNull(), say("pointer without a record")),
     )
-    single = lines.select("source", "seq", "n", F.explode(F.array_compact(causes)).alias("cause"), "path")
-    # How often each tag stands below a line; the records themselves stand below the file.
-    by_tag = lines.where(F.col("up").isNotNull()).groupBy("source", "seq", F.col("up").alias("n"), "up_type", "tag").agg(F.count("*").alias("times"))
-    paths = lines.select("source", "seq", "n", "type", "path")
-    once = by_tag.where((F.col("times") > 1) & F.try_element_at(_map(_ONCE), _entry(F.col("up_type"), F.col("tag"))).isNotNull())
-    many = once.join(paths, ["source", "seq", "n"]).select("source", "seq", "n", say("more than one ", F.col("tag")).alias("cause"), "path")
-    needed = paths.withColumn("tag", F.explode(F.split(F.try_element_at(_map({k: v for k, v in _NEEDED.items() if v}), F.col("type")), " ")))
-    lacks = needed.join(by_tag.select("source", "seq", "n", "tag"), ["source", "seq", "n", "tag"], "left_anti").select("source", "seq", "n", say(F.col("tag"), " is missing").alias("cause"), "path")
+    none = F.lit(None).cast("string")
+    entry = _entry(F.col("up_type"), tag)
+
+    def note(what: str, cond: Column, n: Column | str = "n", cause: Column = none, path: Column | str = "path", key: Column = none, to: Column = none) -> Column:
+        named = {"n": n, "cause": cause, "path": path, "key": key, "to": to}
+        return F.when(cond, F.struct(F.lit(what).alias("what"), *[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in named.items()]))
+
+    told = F.concat(F.transform(F.array_compact(causes), lambda c: F.struct(F.lit("found").alias("what"), F.col("n"), c.alias("cause"), F.col("path"), none.alias("key"), none.alias("to"))), F.array_compact(F.array(
+        note("found", (F.col("_place") == 2) & F.try_element_at(_map(_ONCE), entry).isNotNull(), "up", say("more than one ", tag), "up_path"),
+        note("declared", kind == "declaration", path=none, key=F.substring_index("value", " ", 1)),
+        note("own", own, cause=say("extension tag ", tag, " is not declared in HEAD.SCHMA"), key=tag),
+        note("points", pointer.isNotNull(), cause=say(tag, " points at a record of another kind"), key=pointer, to=points_at),
+        note("needs", F.try_element_at(_map({k: v for k, v in _NEEDED.items() if v}), kind).isNotNull(), key=kind),
+        note("has", (F.col("_place") == 1) & F.try_element_at(_map(_MEETS), entry).isNotNull(), "up", path=none, key=tag),
+    )))
+    notes = written(lines.select("source", "seq", F.explode(told).alias("_note")).select("source", "seq", "_note.*"))
+    of = lambda what, *columns: notes.where(F.col("what") == what).select("source", *columns)
+    finding = ("seq", "n", "cause", "path")
+    single = of("found", *finding)
+    # A file has few extension tags: their lines are dealt over parts, or one task would join those of a tag.
+    declared = of("declared", "key").distinct().withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    strange = of("own", *finding, "key").withColumn("_part", F.pmod(F.hash("seq", "n"), F.lit(SPREAD))).join(declared, ["source", "key", "_part"], "left_anti").select("source", *finding)
+    targets = records.where(F.col("xref").isNotNull()).groupBy("source", F.col("xref").alias("key")).agg(F.min("typ").alias("_typ"), F.lit(True).alias("_there"))
+    missed = F.when(F.col("_there").isNull(), say("pointer without a record")).when(F.col("_typ") != F.col("to"), F.col("cause"))
+    dead = of("points", *finding, "key", "to").join(targets, ["source", "key"], "left").withColumn("cause", missed).where(F.col("cause").isNotNull()).select("source", *finding)
+    needed = of("needs", "seq", "n", "path", "key").withColumn("key", F.explode(F.split(F.try_element_at(_map({k: v for k, v in _NEEDED.items() if v}), F.col("key")), " ")))
+    lacks = needed.join(of("has", "seq", "n", "key"), ["source", "seq", "n", "key"], "left_anti").select("source", "seq", "n", say(F.col("key"), " is missing").alias("cause"), "path")
     # The file: one id a record, the head first, the trailer last.
     doubled = records.where(F.col("xref").isNotNull()).groupBy("source", "xref").agg(F.count("*").alias("times"), F.max("seq").alias("seq")).where("times > 1")
     ids = doubled.select("source", "seq", F.lit(0).alias("n"), say("id of two records").alias("cause"), F.col("xref").alias("path"))
@@ -183,7 +197,7 @@ def findings(records: DataFrame) -> DataFrame:
         F.when(F.col("heads") > 1, say("more than one HEAD")), F.when(F.col("trailers") > 1, say("more than one TRLR")),
     ))
     whole = ends.select("source", F.col("last.seq").alias("seq"), F.lit(0).alias("n"), F.explode(wrong).alias("cause"), F.lit("").alias("path"))
-    return single.unionByName(many).unionByName(lacks).unionByName(ids).unionByName(whole)
+    return single.unionByName(strange).unionByName(dead).unionByName(lacks).unionByName(ids).unionByName(whole)
 
 
 def validate(records: DataFrame) -> DataFrame:
@@ -260,11 +274,11 @@ def export7(persons: DataFrame, families: DataFrame, children: DataFrame, forms:
     kids = _lines(children.join(known, F.col("person") == F.col("_p")), "family", ["person"], _line(1, "CHIL", F.col("_x")), "kids")
     f = _joined(f, kids=kids, happened=_event_lines(events, attributes, "family"), has=_fact_lines(attributes, "family"))
     f_raw = _record(first("FAM"), _line(1, "HUSB", F.col("h")), _line(1, "WIFE", F.col("w")), "kids", "happened", "has")
-    written = p.select(F.lit(1).alias("part"), F.col("id").cast("bigint").alias("seq"), "xref", F.lit("INDI").alias("typ"), p_raw.alias("raw")).unionByName(
+    made = p.select(F.lit(1).alias("part"), F.col("id").cast("bigint").alias("seq"), "xref", F.lit("INDI").alias("typ"), p_raw.alias("raw")).unionByName(
         f.select(F.lit(2).alias("part"), F.col("id").cast("bigint").alias("seq"), "xref", F.lit("FAM").alias("typ"), f_raw.alias("raw"))
     )
-    body = checkpointed(written)  # read once for the tags and once for the file
-    tags = extension_tags(body.withColumn("source", F.lit(""))).agg(F.array_sort(F.collect_list("tag")).alias("tags"))  # one row: as many tags as the writers know
+    body = written(made)  # read once for the tags and once for the file
+    tags = written(extension_tags(body.withColumn("source", F.lit(""))).agg(F.array_sort(F.collect_list("tag")).alias("tags")))  # one row: as many tags as the writers know
     declared = F.when(F.size("tags") > 0, F.concat(F.array(F.lit("1 SCHMA")), F.transform("tags", lambda t: F.concat(F.lit("2 TAG "), t, F.lit(f" {schema}"), F.lower(t))))).otherwise(_no_lines())
     top = F.concat(F.array(F.lit("0 HEAD"), F.lit("1 GEDC"), F.lit("2 VERS 7.0")), declared, F.array(F.lit("1 SOUR kinloom"), F.lit("2 NAME kinloom")), _text(1, "NOTE", F.lit(note).cast("string")))
     none = F.lit(None).cast("string")
