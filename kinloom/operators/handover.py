@@ -12,11 +12,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .graph import checkpointed, left_known
+from .graph import left_known, written
 from .numbering import numbered_rows
 
 #: What a sex field may say, and the roles for which a single word is a given name.
@@ -68,30 +68,55 @@ def full_name_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(T.fold(F.replace(F.coalesce(c, F.lit("")), F.lit("/"), F.lit(" "))), r"\s+", " "))
 
 
+def with_ids(couples: DataFrame, known: DataFrame) -> DataFrame:
+    """``couples`` left-joined with ``known`` on ``ids``; couples without linked persons, which are most, are not shuffled."""
+    rest = couples.where(F.col("ids").isNull())
+    for field in known.drop("ids").schema:
+        rest = rest.withColumn(field.name, F.lit(None).cast(field.dataType))
+    return couples.where(F.col("ids").isNotNull()).join(known, "ids", "left").unionByName(rest)
+
+
+#: Tables of decided couples that may pile up before they are written as one.
+PILED = 8
+
+
 def _decided(couples: DataFrame, known: DataFrame) -> DataFrame:
-    """Add ``created`` to ``couples`` (pos, ord, asks, name, ids); ``known`` has the ``ids`` of couples of the stock.
+    """Add ``created`` to ``couples`` (entry, couple, pos, ord, asks, name, ids); ``known`` has the ``ids`` of couples of the stock.
 
     ``asks``: the name key looked up, null where none is; ``name``: the key under which the couple can be found once it is
     created; ``ids``: the pair of linked persons, else null. Couples of the capture from before carry negative places and are created.
+    A round joins and writes the couples that are undecided, no others.
     """
     in_stock = known.select("ids").distinct().withColumn("stock", F.lit(True))
-    state = left_known(couples, in_stock, "ids", ["pos"]).select(
-        "pos", "ord", "asks", "name", "ids", F.when(F.col("pos") < 0, F.lit(True)).when(F.col("stock") & F.col("asks").isNull(), F.lit(False)).alias("created"), F.coalesce("stock", F.lit(False)).alias("stock")
-    )
-    while True:
-        state = checkpointed(state)
-        if not state.where(F.col("created").isNull()).limit(1).count():
-            return state
-        first = lambda key, at, wanted: state.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"_{wanted}")).agg(
+    same = [F.col(c) for c in ("entry", "couple", "pos", "ord", "asks", "name", "ids")]
+    state = written(with_ids(couples, in_stock).select(
+        *same, F.when(F.col("pos") < 0, F.lit(True)).when(F.col("stock") & F.col("asks").isNull(), F.lit(False)).alias("created"), F.coalesce("stock", F.lit(False)).alias("stock")
+    ))
+    closed, left = [state.where(F.col("created").isNotNull())], state.where(F.col("created").isNull())
+    while left.limit(1).count():
+        state = left
+        for part in closed:
+            state = state.unionByName(part)
+        first = lambda key, at, wanted: state.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"_{wanted}")).agg(  # noqa: E731, B023
             F.min(F.when(F.col("created"), F.col(at))).alias(f"{wanted}_made"), F.min(F.when(F.col("created").isNull(), F.col(at))).alias(f"{wanted}_open")
         )
         by_name, by_ids = first("name", "ord", "asks"), first("ids", "pos", "ids")
-        seen = left_known(left_known(state, by_name.withColumnRenamed("_asks", "asks"), "asks", ["pos"]), by_ids.withColumnRenamed("_ids", "ids"), "ids", ["pos"])
+        seen = left_known(with_ids(left, by_ids.withColumnRenamed("_ids", "ids")), by_name.withColumnRenamed("_asks", "asks"), "asks", ["pos"])
         earlier = lambda made, place: F.coalesce(F.col(made) < F.col(place), F.lit(False))
         reused, found = earlier("asks_made", "ord"), earlier("ids_made", "pos") | F.col("stock")
         waits = earlier("asks_open", "ord") | (earlier("ids_open", "pos") & ~F.col("stock"))
-        decision = F.when(F.col("created").isNotNull(), F.col("created")).when(reused | (found & ~earlier("asks_open", "ord")), F.lit(False)).when(~waits, ~found)
-        state = seen.select("pos", "ord", "asks", "name", "ids", decision.alias("created"), "stock")
+        decision = F.when(reused | (found & ~earlier("asks_open", "ord")), F.lit(False)).when(~waits, ~found)
+        judged = written(seen.select(*same, decision.alias("created"), "stock"))
+        closed, left = [*closed, judged.where(F.col("created").isNotNull())], judged.where(F.col("created").isNull())
+        if len(closed) > PILED:
+            whole = closed[0]
+            for part in closed[1:]:
+                whole = whole.unionByName(part)
+            closed = [written(whole)]
+    state = closed[0]
+    for part in closed[1:]:
+        state = state.unionByName(part)
+    return state
 
 
 def handover(said: DataFrame, plan: Plan, persons: DataFrame, families: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -107,76 +132,78 @@ def handover(said: DataFrame, plan: Plan, persons: DataFrame, families: DataFram
     """
     place = {r: k for k, r in enumerate(plan.roles)}
     step = len(plan.couples) + 1
-    rows = said.where(F.col("role").isin(*plan.roles)).withColumn("_p", name_parts(F.col("role"), F.col("value"), F.col("given")))
-    head = rows.where(F.col("role") == plan.head).select("entry", F.col("_p.surname").alias("_heir"))
     named = persons.select("person", F.col("name").alias("_stock_name"))
-    present = left_known(rows.join(head, "entry", "left").where((F.coalesce("value", F.lit("")) != "") | F.col("person").isNotNull()), named, "person", ["entry"])
+    rows = said.where(F.col("role").isin(*plan.roles))
+    # Only linked persons have a name to be looked up. Then the rows of an entry come together once, for the inherited name and for the couples.
+    alone = rows.where(F.col("person").isNull()).withColumn("_stock_name", F.lit(None).cast("string"))
+    together = alone.unionByName(rows.where(F.col("person").isNotNull()).join(named, "person", "left")).repartition("entry")
+    heir = F.max(F.when(F.col("role") == plan.head, F.col("_p.surname"))).over(Window.partitionBy("entry"))
     surname = F.coalesce("_p.surname", "_heir")
-    present = checkpointed(present.select(
+    is_there = (F.coalesce("value", F.lit("")) != "") | F.col("person").isNotNull()
+    present = together.withColumn("_p", name_parts(F.col("role"), F.col("value"), F.col("given"))).withColumn("_heir", heir).where(is_there).select(
         "entry", "ord", "role", F.col("value"), "person", F.col("_p.given").alias("given"), surname.alias("surname"), role_sex(F.col("role"), F.col("sex")).alias("sex"),
         (F.col("_p.surname").isNull() & F.col("_heir").isNotNull()).alias("inherited"),
         F.when(F.col("person").isNotNull(), F.col("_stock_name")).otherwise(F.concat_ws(" ", F.col("_p.given"), surname)).alias("name"),
-    ))
+    )
     asked = {couple for _, couple in plan.children}
-
-    def couple_rows(k: int, couple: tuple[str, str]) -> DataFrame:
-        a, b = (present.where(F.col("role") == r).select("entry", F.col("ord").alias(f"{s}_ord"), F.col("value").alias(f"{s}_value"), F.col("name").alias(f"{s}_name"), F.col("person").alias(f"{s}_person")) for s, r in zip("ab", couple))
-        both = a.join(b, "entry", "full_outer").withColumn("ord", F.coalesce("a_ord", "b_ord"))
-        key = lambda x, y: F.when((full_name_key(F.col(x)) != "") & (full_name_key(F.col(y)) != ""), F.concat_ws("|", full_name_key(F.col(x)), full_name_key(F.col(y))))
-        return both.select(
-            "entry", F.lit(k).alias("couple"), "ord", (F.col("ord") * step + k).alias("pos"), (key("a_value", "b_value") if couple in asked else F.lit(None).cast("string")).alias("asks"),
-            key("a_name", "b_name").alias("name"), F.when(F.col("a_person").isNotNull() & F.col("b_person").isNotNull(), F.concat_ws(":", "a_person", "b_person")).alias("ids"),
-        )
-
-    here = couple_rows(0, plan.couples[0])
-    for k, couple in enumerate(plan.couples[1:], 1):
-        here = here.unionByName(couple_rows(k, couple))
-    here = checkpointed(here)
+    of_couple = {r: k for k, c in enumerate(plan.couples) for r in c}
+    mapped = lambda pairs, key: F.try_element_at(F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair]), key)
+    sides = present.withColumn("couple", mapped(of_couple, F.col("role"))).where(F.col("couple").isNotNull())
+    is_first = F.col("role").isin(*[c[0] for c in plan.couples])
+    said_here = F.struct("ord", full_name_key(F.col("value")).alias("value"), full_name_key(F.col("name")).alias("name"), "person")
+    both = sides.groupBy("entry", "couple").agg(F.max(F.when(is_first, said_here)).alias("a"), F.max(F.when(~is_first, said_here)).alias("b"))
+    key = lambda x: F.when((F.col(f"a.{x}") != "") & (F.col(f"b.{x}") != ""), F.concat_ws("|", f"a.{x}", f"b.{x}"))
+    at = F.coalesce("a.ord", "b.ord")
+    here = written(both.select(
+        "entry", "couple", (at * step + F.col("couple")).alias("pos"), at.alias("ord"), F.when(F.col("couple").isin(*[k for k, c in enumerate(plan.couples) if c in asked]), key("value")).alias("asks"), key("name").alias("name"),
+        F.when(F.col("a.person").isNotNull() & F.col("b.person").isNotNull(), F.concat_ws(":", "a.person", "b.person")).alias("ids"),
+    ))
     ids = F.concat_ws(":", "husband", "wife")
     husband, wife = named.toDF("husband", "h_name"), named.toDF("wife", "w_name")
     before = families.where("own").join(husband, "husband").join(wife, "wife").select(
-        F.lit(None).cast(here.schema["entry"].dataType).alias("entry"), F.lit(-1).alias("couple"), F.lit(-1).cast("bigint").alias("ord"), (F.col("family") - F.lit(1 << 62)).alias("pos"), F.lit(None).cast("string").alias("asks"),
-        F.concat_ws("|", full_name_key(F.col("h_name")), full_name_key(F.col("w_name"))).alias("name"), ids.alias("ids"), "family",
+        F.lit(None).cast(here.schema["entry"].dataType).alias("entry"), F.lit(-1).alias("couple"), (F.col("family") - F.lit(1 << 62)).alias("pos"), F.lit(-1).cast("bigint").alias("ord"), F.lit(None).cast("string").alias("asks"),
+        F.concat_ws("|", full_name_key(F.col("h_name")), full_name_key(F.col("w_name"))).alias("name"), F.lit(None).cast("string").alias("ids"),
     )
     both_known = families.where(F.col("husband").isNotNull() & F.col("wife").isNotNull())
-    state = checkpointed(_decided(here.select("pos", "ord", "asks", "name", "ids").unionByName(before.select("pos", "ord", "asks", "name", F.lit(None).cast("string").alias("ids"))), both_known.select(ids.alias("ids"))))
+    state = _decided(here.unionByName(before), both_known.select(ids.alias("ids")))
     made = state.where("created")
     # What a couple that was not created stands for: by name the first created one, else by its persons.
     first_name = made.where(F.col("name").isNotNull()).groupBy(F.col("name").alias("asks")).agg(F.min(F.struct("ord", "pos")).alias("n"))
     of_ids = made.where(F.col("ids").isNotNull()).groupBy("ids").agg(F.min("pos").alias("i_pos"))
     stock_ids = both_known.groupBy(ids.alias("ids")).agg(F.min("family").alias("i_family"))
-    told = state.where(F.col("pos") >= 0)
-    for known, key in ((first_name, "asks"), (of_ids, "ids"), (stock_ids, "ids")):
-        told = left_known(told, known, key, ["pos"])
-    reused = ~F.col("created") & F.coalesce(F.col("n.ord") < F.col("ord"), F.lit(False))
-    told = told.select("pos", F.when(F.col("created"), "created").when(reused, "reused").otherwise("found").alias("state"), F.when(F.col("created"), F.col("pos")).when(reused, F.col("n.pos")).when(F.col("i_family").isNull(), F.col("i_pos")).alias("target"), F.when(~F.col("created") & ~reused, F.col("i_family")).alias("i_family"))
-    outcome = checkpointed(here.select("entry", "couple", "pos").join(told, "pos"))
+    own = made.where(F.col("pos") >= 0).select("entry", "couple", "pos", F.lit("created").alias("state"), F.col("pos").alias("target"), F.lit(None).cast(families.schema["family"].dataType).alias("i_family"))
+    told = state.where(~F.col("created")).select("entry", "couple", "pos", "ord", "asks", "ids")
+    told = left_known(with_ids(told, of_ids.join(stock_ids, "ids", "full_outer")).drop("ids"), first_name, "asks", ["pos"])
+    reused = F.coalesce(F.col("n.ord") < F.col("ord"), F.lit(False))
+    told = told.select("entry", "couple", "pos", F.when(reused, "reused").otherwise("found").alias("state"), F.when(reused, F.col("n.pos")).when(F.col("i_family").isNull(), F.col("i_pos")).alias("target"), F.when(~reused, F.col("i_family")).alias("i_family"))
+    outcome = written(own.unionByName(told))
     # New persons: roles that are not linked and do not belong to a reused couple.
     role_couple = F.create_map(*[x for k, c in enumerate(plan.couples) if c in asked for r in c for x in (F.lit(r), F.lit(k))])
     taken = outcome.where(F.col("state") == "reused").select("entry", F.col("couple").alias("_couple"), F.lit(True).alias("_reused"))
-    placed = present.withColumn("_couple", F.try_element_at(role_couple, F.col("role"))).join(taken, ["entry", "_couple"], "left")
-    placed = placed.withColumn("state", F.when(F.col("_reused"), "reused").when(F.col("person").isNotNull(), "linked").otherwise("created"))
+    placed = rows.where(is_there).select("entry", "ord", "role", "person").withColumn("_couple", F.try_element_at(role_couple, F.col("role"))).join(taken, ["entry", "_couple"], "left")
+    placed = written(placed.select("entry", "ord", "role", "person", F.when(F.col("_reused"), "reused").when(F.col("person").isNotNull(), "linked").otherwise("created").alias("state")))
     order = F.create_map(*[x for r, k in place.items() for x in (F.lit(r), F.lit(k))])
     fresh = placed.where(F.col("state") == "created").select("entry", "ord", "role", order[F.col("role")].alias("_k"))
     top = persons.agg(F.coalesce(F.max("person"), F.lit(0)).alias("_top"))  # one row
-    ids_of = numbered_rows(fresh, [F.col("ord"), F.col("_k")], "_n").join(F.broadcast(top)).select("entry", "role", (F.col("_top") + F.col("_n")).alias("_new"))
-    settled = checkpointed(placed.join(ids_of, ["entry", "role"], "left").withColumn("person", F.when(F.col("state") == "reused", F.lit(None)).otherwise(F.coalesce("person", "_new"))))
+    fresh_ids = numbered_rows(fresh, [F.col("ord"), F.col("_k")], "_n").join(F.broadcast(top)).select("entry", "role", (F.col("_top") + F.col("_n")).alias("person"), F.lit("created").alias("state"))
+    old = placed.where(F.col("state") != "created").select("entry", "role", F.when(F.col("state") == "linked", F.col("person")).alias("person"), "state")
+    settled = written(fresh_ids.unionByName(old))
     # Created couples with their persons and numbers.
     side = lambda s: F.create_map(*[x for k, c in enumerate(plan.couples) for x in (F.lit(k), F.lit(c[s]))])[F.col("couple")]
-    of_role = settled.select(F.col("entry"), F.col("role").alias("_role"), "person")
-    new = outcome.where(F.col("state") == "created").select("entry", "couple", "pos")
-    new = new.withColumn("_role", side(0)).join(of_role.withColumnRenamed("person", "husband"), ["entry", "_role"], "left").drop("_role")
-    new = new.withColumn("_role", side(1)).join(of_role.withColumnRenamed("person", "wife"), ["entry", "_role"], "left").drop("_role")
+    members = settled.withColumn("couple", mapped(of_couple, F.col("role"))).where(F.col("couple").isNotNull())
+    members = members.groupBy("entry", "couple").agg(F.max(F.when(is_first, F.col("person"))).alias("husband"), F.max(F.when(~is_first, F.col("person"))).alias("wife"))
+    new = outcome.where(F.col("state") == "created").select("entry", "couple", "pos").join(members, ["entry", "couple"], "left")
     top_family = families.agg(F.coalesce(F.max("family"), F.lit(0)).alias("_top"))  # one row
     created = numbered_rows(new.select("pos", "husband", "wife"), [F.col("pos")], "_n").join(F.broadcast(top_family)).select(F.col("pos").alias("target"), (F.col("_top") + F.col("_n")).alias("family"), "husband", "wife")
-    every = checkpointed(created.unionByName(families.where("own").select((F.col("family") - F.lit(1 << 62)).alias("target"), "family", "husband", "wife")))
+    every = written(created.unionByName(families.where("own").select((F.col("family") - F.lit(1 << 62)).alias("target"), "family", "husband", "wife")))
     stock = families.select(F.col("family").alias("i_family"), F.col("husband").alias("i_husband"), F.col("wife").alias("i_wife"))
-    couples = checkpointed(
-        left_known(left_known(outcome, every, "target", ["pos"]), stock, "i_family", ["pos"])
-        .select("entry", "couple", F.coalesce("family", "i_family").alias("family"), "state", F.coalesce("husband", "i_husband").alias("husband"), F.coalesce("wife", "i_wife").alias("wife"))
-    )
+    made_here = outcome.where(F.col("i_family").isNull()).join(every, "target", "left").select("entry", "couple", "family", "state", "husband", "wife")
+    of_stock = outcome.where(F.col("i_family").isNotNull()).join(stock, "i_family", "left").select("entry", "couple", F.col("i_family").alias("family"), "state", F.col("i_husband").alias("husband"), F.col("i_wife").alias("wife"))
+    couples = written(made_here.unionByName(of_stock))
     again = couples.where(F.col("state") == "reused").select("entry", F.explode(F.array(F.struct(side(0).alias("role"), F.col("husband").alias("p")), F.struct(side(1).alias("role"), F.col("wife").alias("p")))).alias("r")).select("entry", "r.role", F.col("r.p").alias("_again"))
-    people = checkpointed(settled.join(again, ["entry", "role"], "left").select("entry", "role", F.coalesce("person", "_again").alias("person"), "state", "given", "surname", "sex", "inherited"))
+    people = settled.join(present.select("entry", "role", "given", "surname", "sex", "inherited"), ["entry", "role"]).join(again, ["entry", "role"], "left").select(
+        "entry", "role", F.coalesce("person", "_again").alias("person"), "state", "given", "surname", "sex", "inherited"
+    )
     number = {c: k for k, c in enumerate(plan.couples)}
     child_couple = F.create_map(*[x for role, c in plan.children for x in (F.lit(role), F.lit(number[c]))])
     born = people.withColumn("couple", F.try_element_at(child_couple, F.col("role"))).where(F.col("couple").isNotNull()).join(couples.select("entry", "couple", "family"), ["entry", "couple"])

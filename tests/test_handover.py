@@ -138,3 +138,17 @@ def test_parts_and_sexes(spark):
     got = frame.select(H.name_parts(F.col("role"), F.col("value"), F.col("given")).alias("p"), H.role_sex(F.col("role"), F.col("sex")).alias("s")).collect()
     assert [(*r["p"], r["s"]) for r in got] == [("Georg", None, None), ("Anna", "von der Au", "F"), (None, "Roth", "M"), ("Hans", "Roth", "M"), ("Hans", None, "F"), ("Eva Maria", "Koch", None), (None, None, "F")]
     assert frame.limit(1).select(H.full_name_key(F.lit("  Hans  /von der AU/ "))).first()[0] == "hans von der au"
+
+
+def test_entry_rows_are_shuffled_few_times(spark):
+    """2,000 entries of three roles: what is not linked is not looked up, and decided couples are not joined again."""
+    said = [(k, k, role, value, None, None, None) for k in range(2000) for role, value in (("father", f"Hans Roth{k % 50}"), ("mother", f"Eva Koch{k % 50}"), ("child", "Anna"))]
+    stock = spark.createDataFrame([], "person long, name string"), spark.createDataFrame([], "family long, husband long, wife long, own boolean")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
+    before = {stages().apply(k).stageId() for k in range(stages().size())}
+    got = H.handover(spark.createDataFrame(said, SAID).repartition(3).localCheckpoint(), H.BAPTISM, *stock)[1].groupBy("state").count().collect()
+    assert {r["state"]: r["count"] for r in got} == {"created": 50, "reused": 1950}
+    now = stages()
+    moved = sum(s.shuffleWriteRecords() for s in map(now.apply, range(now.size())) if s.stageId() not in before)
+    assert moved < 40_000
